@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrid.llm import block_names, chunked_bpe, positional_index, scratch, simhash, subword_quality
+from docgrid.llm import block_names, chunked_bpe, html_blocks, licences, lm, positional_index, scratch, simhash, subword_quality, toxicity, warc
 from docgrid.llm.text import crc32_mod
 
 #: Where the public tokenizer files are; a parameter, they are not part of the repository.
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,21 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(scratch.ROW, "doc_id").join(found, scratch.ROW).drop(scratch.ROW)
 
 
+def op5_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = (crc32_mod(F.col("doc_id"), 5) == 0).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scratch.with_row_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), "docs")
     return block_names.exact_groups(rows).drop(scratch.ROW)
@@ -49,18 +68,62 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_quality.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "licence", F.round("dice", 9).alias("dice"), "n_matches", F.array_join("licences", ",").alias("licences"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_chunked_bpe": op3_chunked_bpe,
     "op4_decontamination": op4_decontamination,
+    "op5_log_bilinear": op5_log_bilinear,
+    "op6_main_text": op6_main_text,
+    "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
+    "op10_licences": op10_licences,
 }
 
 _A_TO_Z = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_A_TO_Z}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_TEMPLATES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licences.TEMPLATES)
+_PAIRS = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages),
+s AS (SELECT *, octet_length(encode(html)) AS n FROM p),
+g AS (SELECT digest, min(page_id) AS first FROM s WHERE n >= 100 GROUP BY digest)
+SELECT s.page_id, CAST(s.n AS BIGINT) AS payload_bytes, s.digest AS payload_digest,
+       CASE WHEN g.first <> s.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.first <> s.page_id THEN g.first END AS refers_to, s.url
+FROM s LEFT JOIN g ON s.digest = g.digest
+""",
+    "op10_licences": rf"""
+WITH t AS (SELECT row_number() OVER () AS t, * FROM (VALUES {_TEMPLATES}) AS x(name, body)),
+tw AS (SELECT t, name, regexp_extract_all(lower(body), '[a-z0-9]+') AS w FROM t),
+tp AS (SELECT DISTINCT t, name, unnest({_PAIRS}) AS p FROM tw),
+tn AS (SELECT t, count(*) AS n FROM tp GROUP BY t),
+d AS (SELECT doc_id, {_A_TO_Z} AS text FROM documents),
+b AS (SELECT doc_id, text, regexp_split_to_array(text, '\n[ \t\r]*\n') AS parts FROM d),
+seg AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM d
+        UNION ALL SELECT doc_id, s FROM (SELECT doc_id, unnest(parts) AS s FROM b) WHERE contains(s, chr(10))
+        UNION ALL SELECT doc_id, text FROM b WHERE len(parts) > 1),
+sw AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(s, '[a-z0-9]+') AS w FROM seg),
+sp AS (SELECT DISTINCT k, doc_id, unnest({_PAIRS}) AS p FROM sw),
+sn AS (SELECT k, count(*) AS n FROM sp GROUP BY k),
+m AS (SELECT sp.k, sp.doc_id, tp.t, tp.name, count(*) AS c FROM sp JOIN tp ON sp.p = tp.p GROUP BY sp.k, sp.doc_id, tp.t, tp.name),
+x AS (SELECT m.k, m.doc_id, m.name, 2.0::DOUBLE * m.c / (sn.n + tn.n) AS dice FROM m JOIN sn ON m.k = sn.k JOIN tn ON m.t = tn.t),
+best AS (SELECT k, doc_id, name, dice FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY dice DESC, name) AS r FROM x WHERE dice >= 0.8::DOUBLE) WHERE r = 1),
+top AS (SELECT doc_id, name, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) AS r FROM best) WHERE r = 1),
+many AS (SELECT doc_id, count(*) AS n_matches FROM best GROUP BY doc_id),
+named AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licences FROM (SELECT DISTINCT doc_id, name FROM best) GROUP BY doc_id)
+SELECT d.doc_id, top.name AS licence, round(top.dice, 9) AS dice, coalesce(many.n_matches, 0) AS n_matches, coalesce(named.licences, '') AS licences
+FROM d LEFT JOIN top ON d.doc_id = top.doc_id LEFT JOIN many ON d.doc_id = many.doc_id LEFT JOIN named ON d.doc_id = named.doc_id
+""",
     "op4_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
