@@ -1,0 +1 @@
+"""Document-page recognition pipelines as Spark DataFrames."""
