@@ -91,6 +91,7 @@ class Forest:
     """
 
     def __init__(self, values: np.ndarray, shard: np.ndarray):
+        values = values.view(np.uint64)  # the bits of a signed number's absolute value are others
         self.values = values
         n = len(values)
         self.root = np.full(int(shard[-1]) + 1 if n else 0, -1, np.int64)
@@ -114,6 +115,7 @@ class Forest:
 
     def search(self, queries: np.ndarray, shard: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query numbers, node numbers) of what lies within ``radius``, level by level."""
+        queries = queries.view(np.uint64)
         q = np.arange(len(queries))
         node = self.root[shard]
         while len(q):
