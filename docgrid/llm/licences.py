@@ -100,15 +100,16 @@ class Templates:
         """Highest coefficient of a segment, and the first licence by name that has it."""
         least = self.least
         words = _WORD.findall(raw.lower())
-        if len(words) - 1 < self.sizes[0] * least / (2 - least):
+        if len(words) - 1 < self.sizes[0] * least / (2 - least) - 1e-9:
             return None
         known = self.words
         # a match shares at least half the coefficient times the smaller size in pairs, and k pairs take k + 1 words
-        if sum(w in known for w in words) < 1 + self.sizes[0] * least / 2:
+        if sum(w in known for w in words) < 1 + self.sizes[0] * least / 2 - 1e-9:
             return None
         own = {b"%b %b" % p for p in zip(words, words[1:])}
-        low = bisect_left(self.sizes, len(own) * least / (2 - least))
-        high = bisect_right(self.sizes, len(own) * (2 - least) / least)
+        # the coefficient itself decides on the border, where these bounds are rounded
+        low = bisect_left(self.sizes, len(own) * least / (2 - least) - 1e-9)
+        high = bisect_right(self.sizes, len(own) * (2 - least) / least + 1e-9)
         if low >= high:
             return None
         shared = Counter(i for x in own if x in self.holders for i in self.holders[x] if low <= i < high)
