@@ -20,7 +20,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
-from itertools import islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +32,13 @@ from pyspark.sql import types as T
 CUT_BITS = 2
 #: Bytes that the rolling hash looks back on.
 LOOK_BACK = 4
-#: Pieces, and words, that a worker remembers before it forgets the older half.
-MEMORY = 400_000
+#: Words, and half as many pieces, of a generation of a worker's memory.
+MEMORY = 350_000
 
+#: Bytes of text that are cut and looked up together.
+PORTION_BYTES = 2 << 20
+
+_COUNT, _IDS = itemgetter(0), itemgetter(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _GEAR = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
@@ -53,20 +57,24 @@ def pieces(text: bytes, bits: int = CUT_BITS) -> list[bytes]:
     """Whole-word runs of the chunks, and between them the words that cuts split, repaired.
 
     Their concatenation is the text, and each border has white space before it.
+    A word with a cut inside becomes a piece; words between two such pieces stay
+    together unless a cut falls on the white space between them.
     """
     data = np.frombuffer(text, np.uint8)
-    space = np.flatnonzero(_SPACE[data]) + 1
-    cut = cuts(data, bits)
-    cut = cut[cut < len(data)]
-    if not len(space) or not len(cut):
+    end = np.flatnonzero(_SPACE[data]) + 1  # where words, with one white space each, end
+    if not len(end):
         return [text] if text else []
-    at = np.searchsorted(space, cut, side="right")  # white spaces up to the cut
-    left = np.where(at > 0, space[at - 1], 0)  # the join begins after the last white space before the cut ...
-    right = np.where(at < len(space), space[np.minimum(at, len(space) - 1)], len(data))  # ... and ends with the next
-    right = np.where(left == cut, cut, right)  # a cut at white space splits no word
-    edge = np.sort(np.concatenate([[0], left, right, [len(data)]]))
-    edge = edge[np.r_[True, edge[1:] != edge[:-1]]].tolist()
-    return [text[a:b] for a, b in zip(edge, edge[1:])]
+    start = np.concatenate([[0], end])
+    start = start[:-1] if end[-1] == len(data) else start
+    cut = np.zeros(len(data) + 1, bool)
+    cut[cuts(data, bits)] = True
+    inside = np.add.reduceat(cut[1:], start, dtype=np.int32)
+    last = np.append(start[1:], len(data))
+    on_end = cut[last]
+    split = inside > on_end
+    keep = split[:-1] | split[1:] | on_end[:-1]
+    edge = [0, *start[1:][keep].tolist(), len(data)]
+    return [text[i:j] for i, j in zip(edge, edge[1:])]
 
 
 def load(path: str):  # noqa: ANN201
@@ -86,61 +94,98 @@ def load(path: str):  # noqa: ANN201
     return found
 
 
+class Memory:
+    """Results by piece or word, in two generations.
+
+    What is used while a generation fills moves into it; the rest is forgotten
+    with the generation before. So frequent entries stay, at any length of run.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.old: dict[bytes, tuple[int, bytes, bytes]] = {}
+
+    def lacking(self, wanted: set[bytes]) -> list[bytes]:
+        """Those of ``wanted`` that aren't known; all others are in ``young`` afterwards."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        new = wanted - self.young.keys()
+        back = new & self.old.keys()
+        self.young.update((x, self.old[x]) for x in back)
+        return list(new - back)
+
+
 class Encoder:
-    """Encodes whole texts from remembered pieces."""
+    """Encodes whole texts from remembered pieces: (number of ids, ids as text, decoded text) of each."""
 
     def __init__(self, path: str, memory: int = MEMORY):
         self.tokenizer = load(path)
-        self.memory = memory
         self.encoded = 0
-        self.words: dict[bytes, tuple[int, bytes, bytes]] = {}
-        self.known: dict[bytes, tuple[int, bytes, bytes]] = {}
+        n = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.names = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(n)]
+        self.numbers = [b"%d" % i for i in range(n)]
+        self.words, self.known = Memory(memory), Memory(memory // 2)
 
     def _run(self, new: list[bytes]) -> None:
-        """Put words through the tokenizer: (number of ids, ids as text, decoded text)."""
-        if len(self.words) + len(new) > self.memory:
-            self.words = dict(islice(self.words.items(), len(self.words) // 2, None))
-        name = self.tokenizer.id_to_token
+        """Put words through the tokenizer."""
+        number, name, words = self.numbers.__getitem__, self.names.__getitem__, self.words.young
         self.encoded += len(new)
-        for raw, e in zip(new, self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in new], add_special_tokens=False)):
+        for raw, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
             ids = e.ids
-            self.words[raw] = (len(ids), " ".join(map(str, ids)).encode(), " ".join(map(name, ids)).encode())
+            words[raw] = (len(ids), b" ".join(map(number, ids)), b" ".join(map(name, ids)))
 
     def learn(self, new: list[bytes]) -> None:
         """Remember pieces, put together from their words."""
-        if len(self.known) + len(new) > self.memory:
-            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
         cut = [x.split() for x in new]
-        words = dict.fromkeys(w for x in cut for w in x)
-        if fresh := [w for w in words if w not in self.words]:
-            self._run(fresh)
-            if fresh := [w for w in words if w not in self.words]:  # forgotten meanwhile
-                self._run(fresh)
+        self._run(self.words.lacking({w for x in cut for w in x}))
+        words, known = self.words.young, self.known.young
         for raw, x in zip(new, cut):
-            self.known[raw] = self.words[x[0]] if len(x) == 1 else joined([self.words[w] for w in x])
+            known[raw] = words[x[0]] if len(x) == 1 else joined([words[w] for w in x])
 
     def encode(self, texts: list[bytes]) -> list[tuple[int, bytes, bytes]]:
         """For each text the number of ids, the decimal ids joined by spaces, and the decoded text."""
-        out = []
+        cut = [pieces(t) for t in texts]
+        new = self.known.lacking(set().union(*cut))
+        if new:
+            self.learn(new)
+        known = self.known.young.__getitem__
+        return [joined(list(map(known, c))) for c in cut]
+
+    def encode_all(self, texts: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
+        """``encode`` in portions of bounded size; long texts go in parts, which end at white space."""
+        held: list[bytes] = []
+        size = 0
         for text in texts:
-            found: list[tuple[int, bytes, bytes]] = []
-            cut = pieces(text)
-            for k in range(0, len(cut), self.memory // 4):
-                part = cut[k : k + self.memory // 4]
-                new = [x for x in dict.fromkeys(part) if x not in self.known]
-                if new:
-                    self.learn(new)
-                    if new := [x for x in dict.fromkeys(part) if x not in self.known]:  # forgotten meanwhile
-                        self.learn(new)
-                found += [self.known[x] for x in part]
-            out.append(joined(found))
-        return out
-
-
-def joined(parts: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
+            if len(text) > PORTION_BYTES:
+                yield from self.encode(held)
+                held, size = [], 0
+                yield joined([x for part in parts(text) for x in self.encode([part])])
+                continue
+            held.append(text)
+            size += len(text)
+            if size > PORTION_BYTES:
+                yield from self.encode(held)
+                held, size = [], 0
+        yield from self.encode(held)
+
+
+def parts(text: bytes) -> Iterator[bytes]:
+    """A long text in parts of about PORTION_BYTES, each but the last up to a space or line feed."""
+    at = 0
+    while at < len(text):
+        if at + PORTION_BYTES >= len(text):
+            end = len(text)
+        else:
+            ends = [i + 1 for i in (text.find(b" ", at + PORTION_BYTES), text.find(b"\n", at + PORTION_BYTES)) if i >= 0]
+            end = min(ends, default=len(text))
+        yield text[at:end]
+        at = end
+
+
+def joined(results: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
     """Results of adjacent pieces as one; pieces of white space alone have none."""
-    parts = [x for x in parts if x[0]]
-    return sum(x[0] for x in parts), b" ".join([x[1] for x in parts]), b" ".join([x[2] for x in parts])
+    return sum(map(_COUNT, results)), b" ".join(filter(None, map(_IDS, results))), b" ".join([x[2] for x in results if x[0]])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -170,7 +215,7 @@ def encode(docs: DataFrame, path: str, ids: list[str], text: str = "text", outpu
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
-                done = of.encode([x.as_py() or b"" for x in part.column(len(ids))])
+                done = list(of.encode_all([x.as_py() or b"" for x in part.column(len(ids))]))
                 cols = [pa.array([n for n, _, _ in done], pa.int64())]
                 cols += [pa.array([hashlib.sha256(x[i]).hexdigest() for x in done], pa.string()) for i in (1, 2)]
                 if outputs:
