@@ -4,12 +4,15 @@ A rolling hash over the last bytes decides where a text is cut, so equal
 passages are cut alike wherever they stand. A chunk's whole words (between its
 first and last white space) are encoded once per Python worker and then looked
 up, whichever document they come from; a chunk met for the first time is put
-together from words, of which only those not met before go through the merges. A cut may fall inside a word: the join
-is repaired by widening it to the white space on either side, over further
-chunks if need be, and encoding the word that it splits as a whole. White space
+together from words, of which only those not met before go through the merges.
+A cut may fall inside a word: the join is repaired by widening it to the white
+space on either side, over further chunks if need be, and encoding the word
+that it splits as a whole. White space
 is where this kind of tokenizer starts anew: it drops it, and neither its
 normaliser, its word pattern nor its merges look across it, so the pieces' ids
 joined are exactly those of the whole text (the tests hold them against it).
+Before it is cut, a text is lower-cased and its words are parted from the stops
+behind them where the tokenizer does the same anyway, so that more is met again.
 
 Only tokenizers for which this holds are accepted: see ``load``.
 """
@@ -19,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -29,21 +33,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A cut after a byte whose rolling hash has these bits at zero: 2**bits bytes a chunk on average.
-CUT_BITS = 2
+CUT_BITS = 8
 #: Bytes that the rolling hash looks back on.
-LOOK_BACK = 4
-#: Words, and half as many pieces, of a generation of a worker's memory.
-MEMORY = 350_000
+LOOK_BACK = 16
+#: Words of a generation of a worker's memory, and how many times fewer pieces.
+MEMORY = 150_000
+PIECES_PER = 16
 
-#: Bytes of text that are cut and looked up together.
-PORTION_BYTES = 2 << 20
+#: Bytes of text that are cut and looked up together, and words that go through the tokenizer together.
+PORTION_BYTES = 512 << 10
+RUN_WORDS = 4096
 
 _COUNT, _IDS = itemgetter(0), itemgetter(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_STOP = re.compile(rb"(?<=[a-z])(?=[.,;:!?])")
 _GEAR = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
 
 
+def prepared(text: bytes) -> bytes:
+    """A text with A-Z in lower case and a space between such a letter and the stop behind it.
+
+    Neither changes the ids for a tokenizer that ``load`` accepts: it lower-cases
+    too, and its word pattern ends a word before a stop. Texts with combining
+    marks, which may join with a letter of one case only, and those that may
+    hold added tokens stay as they are.
+    """
+    if b"\xcc" in text or b"\xcd" in text or b"<|" in text:
+        return text
+    return _STOP.sub(b" ", text.lower())
+
+
 def cuts(data: np.ndarray, bits: int = CUT_BITS) -> np.ndarray:
     """Places where content-defined chunks end."""
     gear = _GEAR[data]
@@ -86,6 +106,12 @@ def load(path: str):  # noqa: ANN201
     split = next((p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"), {})
     if not (split.get("behavior") == "Removed" and split.get("invert") and spec["decoder"] is None and spec["post_processor"] is None):
         raise ValueError(f"{path}: not a tokenizer that drops white space and joins decoded tokens by spaces")
+    steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+    words = split.get("pattern", {}).get("Regex", "")
+    if "Lowercase" not in steps or not words.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"):
+        raise ValueError(f"{path}: not a tokenizer that lower-cases and parts letters from signs")
+    if any(not t["content"].startswith("<|") for t in spec["added_tokens"]):
+        raise ValueError(f"{path}: an added token can't be told from plain text")
     if any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"]):
         raise ValueError(f"{path}: an added token reaches over white space")
     found = Tokenizer.from_file(path)
@@ -98,7 +124,8 @@ class Memory:
     """Results by piece or word, in two generations.
 
     What is used while a generation fills moves into it; the rest is forgotten
-    with the generation before. So frequent entries stay, at any length of run.
+    with the generation before, at the next ``turn`` after it is full. So
+    frequent entries stay, at any length of run.
     """
 
     def __init__(self, size: int):
@@ -106,10 +133,12 @@ class Memory:
         self.young: dict[bytes, tuple[int, bytes, bytes]] = {}
         self.old: dict[bytes, tuple[int, bytes, bytes]] = {}
 
-    def lacking(self, wanted: set[bytes]) -> list[bytes]:
-        """Those of ``wanted`` that aren't known; all others are in ``young`` afterwards."""
+    def turn(self) -> None:
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
+
+    def lacking(self, wanted: set[bytes]) -> list[bytes]:
+        """Those of ``wanted`` that aren't known; all others are in ``young`` afterwards."""
         new = wanted - self.young.keys()
         back = new & self.old.keys()
         self.young.update((x, self.old[x]) for x in back)
@@ -125,15 +154,17 @@ class Encoder:
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.names = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(n)]
         self.numbers = [b"%d" % i for i in range(n)]
-        self.words, self.known = Memory(memory), Memory(memory // 2)
+        self.words, self.known = Memory(memory), Memory(memory // PIECES_PER)
 
     def _run(self, new: list[bytes]) -> None:
         """Put words through the tokenizer."""
         number, name, words = self.numbers.__getitem__, self.names.__getitem__, self.words.young
         self.encoded += len(new)
-        for raw, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
-            ids = e.ids
-            words[raw] = (len(ids), b" ".join(map(number, ids)), b" ".join(map(name, ids)))
+        for k in range(0, len(new), RUN_WORDS):
+            part = new[k : k + RUN_WORDS]
+            for raw, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
+                ids = e.ids
+                words[raw] = (len(ids), b" ".join(map(number, ids)), b" ".join(map(name, ids)))
 
     def learn(self, new: list[bytes]) -> None:
         """Remember pieces, put together from their words."""
@@ -145,7 +176,9 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[tuple[int, bytes, bytes]]:
         """For each text the number of ids, the decimal ids joined by spaces, and the decoded text."""
-        cut = [pieces(t) for t in texts]
+        self.words.turn()
+        self.known.turn()
+        cut = [pieces(prepared(t)) for t in texts]
         new = self.known.lacking(set().union(*cut))
         if new:
             self.learn(new)
