@@ -61,7 +61,8 @@ class Index:
     def __init__(self, rows: DataFrame, windows: Windows, text: str = "text"):
         self.windows, width = windows, windows.width
         tokens = rows.select(ROW, words(F.col(text)).alias("w"))
-        seen = tokens.select(F.explode("w").alias("term")).join(scratch.sized(windows.terms), "term")
+        # the outer form: before a plain explode Spark filters by the array's size, and so takes the words twice
+        seen = tokens.select(F.explode_outer("w").alias("term")).join(scratch.sized(windows.terms), "term")
         often = scratch.keep(seen.groupBy("tid").agg(F.count(F.lit(1)).alias("often")), "often")
         parts = windows.words.select("wid", "words", F.posexplode("words").alias("o", "term")).join(windows.terms, "term").join(often, "tid", "left")
         ranked = parts.groupBy("wid").agg(F.first("words").alias("words"), F.array_sort(F.collect_list(F.struct("often", "tid", "o"))).alias("r"))
