@@ -34,22 +34,42 @@ NGRAMS = (3, 4)
 SAMPLE_ROWS = 3_000
 #: Words whose value a worker remembers before it starts anew.
 MEMORY = 400_000
-#: Longest part of a word that n-grams are taken from; the word itself is always hashed whole.
-NGRAM_SPAN = 40
+#: Longest word that a worker remembers, and characters of a longer one whose n-grams are taken at once.
+REMEMBERED = 100
+SPAN = 10_000
 
 REPEAT, EMPTY = 0, 1  # buckets of a repeated word and of a text without words
 
 
 def features(word: bytes) -> list[int]:
     """Buckets of a word and its character n-grams, its borders marked."""
+    return [i for part in _features(word) for i in part]
+
+
+def _features(word: bytes) -> Iterator[list[int]]:
+    """The same in parts: those of the n-grams that begin in ``SPAN`` characters."""
     out = [crc32(word)]
     if word.isascii():
-        raw = b"<" + word[:NGRAM_SPAN] + b">"
-        out += [crc32(raw[i : i + n], n) for n in NGRAMS for i in range(len(raw) - n + 1)]
+        raw = b"<" + word + b">"
+        for k in range(0, len(raw), SPAN):
+            out += [crc32(raw[i : i + n], n) for n in NGRAMS for i in range(k, min(k + SPAN, len(raw) - n + 1))]
+            yield [2 + h % (BUCKETS - 2) for h in out]
+            out = []
     else:
-        text = f"<{word.decode('utf-8', 'replace')[:NGRAM_SPAN]}>"
-        out += [crc32(text[i : i + n].encode(), n) for n in NGRAMS for i in range(len(text) - n + 1)]
-    return [2 + h % (BUCKETS - 2) for h in out]
+        text = f"<{word.decode('utf-8', 'replace')}>"
+        for k in range(0, len(text), SPAN):
+            out += [crc32(text[i : i + n].encode(), n) for n in NGRAMS for i in range(k, min(k + SPAN, len(text) - n + 1))]
+            yield [2 + h % (BUCKETS - 2) for h in out]
+            out = []
+
+
+def _counted(word: bytes) -> tuple[list[int], list[int]]:
+    """Distinct buckets of a long word and how often each occurs; at most ``BUCKETS`` whatever its length."""
+    held = np.zeros(BUCKETS, np.int64)
+    for part in _features(word):
+        held += np.bincount(part, minlength=BUCKETS)
+    at = np.flatnonzero(held)
+    return at.tolist(), held[at].tolist()
 
 
 def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +82,12 @@ def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         many[w] = many.get(w, 0) + 1
     at, share = [REPEAT], [float(sum(map(eq, words, islice(words, 1, None))))]
     for w, n in many.items():
+        if len(w) > REMEMBERED:
+            f, often = _counted(w)
+            at += f
+            total = sum(often)
+            share += [n * k / total for k in often]
+            continue
         f = features(w)
         at += f
         share += [n / len(f)] * len(f)
@@ -125,6 +151,12 @@ class Values(dict):
         self.buckets = buckets.astype(float).tolist()
 
     def __missing__(self, word: bytes) -> float:
+        if len(word) > REMEMBERED:
+            n, total, b = 0, 0.0, self.buckets
+            for part in _features(word):
+                n += len(part)
+                total += sum([b[i] for i in part])
+            return total / n
         if len(self) >= MEMORY:
             self.clear()
         f = features(word)
