@@ -3,7 +3,7 @@
 A page is cut into blocks at block-level tags. The first pass labels each block
 from itself alone: blocks of menus, footers, forms, adverts and the like, and
 those that are mostly links, are bad; long blocks and those dense in stop words
-are good; short ones stay undecided. The second pass gives an undecided block
+are good, whatever the language of a long one; short ones stay undecided. The second pass gives an undecided block
 the label of its nearest decided neighbours. Where a page marks its article,
 blocks outside it are bad, and inside it only links and marked boilerplate are.
 """
@@ -151,10 +151,8 @@ def classify(found: list[Block]) -> None:
         stops = sum(_BARE.sub("", w).lower() in STOP_WORDS for w in b.words) / n
         if b.outside or marked and not b.article or b.linked > LINK_DENSE and (n < LONG_WORDS or stops < STOP_DENSE) or b.text.startswith("©"):
             b.label = "bad"
-        elif n >= LONG_WORDS and (marked or stops >= STOP_DENSE / 2) or n >= SHORT_WORDS and stops >= STOP_DENSE:
+        elif n >= LONG_WORDS or n >= SHORT_WORDS and stops >= STOP_DENSE:  # code, tables and other languages have few stop words
             b.label = "good"
-        elif n >= LONG_WORDS:
-            b.label = "bad"
     inside = [b for b in found if not (b.outside or marked and not b.article)]
     decided = [(i, b.label) for i, b in enumerate(inside) if b.label]
     if not any(label == "good" for _, label in decided):

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from docgrid.llm import subword_quality
+from docgrid.llm import html_blocks, subword_quality
 
 
 def test_quality_reads_whole_runs_without_spaces():
@@ -24,3 +24,14 @@ def test_quality_reads_whole_runs_without_spaces():
         assert subword_quality.log_odds(values, 0.0, raw) == pytest.approx(want) and not len(values)
         ids, share = subword_quality.bag(raw)
         assert share.sum() == pytest.approx(1, abs=1e-4) and share @ buckets[ids] == pytest.approx(want, abs=1e-4)
+
+
+RUSSIAN = "Вчера вечером на главной площади города собрались тысячи жителей чтобы посмотреть большое представление которое подготовили местные артисты вместе с учениками музыкальной школы и оркестром областной филармонии под руководством нового дирижёра " * 2
+
+
+@pytest.mark.parametrize("text", [RUSSIAN.strip(), " ".join(f"x{i} = call_{i}(y{i});" for i in range(30))])
+def test_main_text_keeps_long_blocks_without_stop_words(text):
+    menu = "".join(f"<li><a href=/{i}>Menu entry number {i} of many</a></li>" for i in range(12))
+    page = f"<body><ul>{menu}</ul><div>scrap</div><div>{text}</div><div>{text}</div></body>"
+    got = html_blocks.main_text(page).split("\n\n")
+    assert got.count(text) == 2 and not any("Menu entry" in x for x in got)
