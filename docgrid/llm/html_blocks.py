@@ -29,7 +29,7 @@ RAW = "script|style|title|textarea|noscript|template"
 SILENT = "svg|math|iframe|object|canvas|audio|video|select"
 #: Containers that are never part of an article.
 OUTSIDE = frozenset("nav footer aside form menu dialog button fieldset".split())
-#: Words in a class, id or role that say the same of their element.
+#: Class names, ids and roles that say the same of their element.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer "
     "comment comments respond disqus cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription share sharing social "
@@ -37,6 +37,13 @@ HINTS = frozenset(
 )
 #: The same, but an article's own header may be called so.
 PAGE_ONLY = frozenset("header masthead banner".split())
+#: Words that may stand beside a hint in a hyphenated name without changing what it says.
+BESIDE = frozenset(
+    "site page main global top bottom left right primary secondary first second container wrapper wrap box block list section area bar inner outer row column col "
+    "link links item items form field button buttons icon icons text title heading message policy slot unit zone space google post posts article articles thread count reply widgets menus c l o m js u".split()
+)
+#: Elements that hold a page's text whatever they are called.
+HOLDERS = frozenset("html body article main".split())
 
 #: Frequent function words of the languages that pages are in.
 STOP_WORDS = frozenset(
@@ -70,6 +77,12 @@ class Block:
         self.outside, self.article, self.label = outside, article, ""
 
 
+def _says(name: str, hints: frozenset[str]) -> bool:
+    """Whether a class name, id or role is a hint, alone or with words that don't change what it says."""
+    parts = _PART.findall(name)
+    return any(p in hints for p in parts) and all(p in hints or p in BESIDE or p in HINTS for p in parts)
+
+
 def _kind(tag: str, attributes: str, in_article: bool) -> str:
     """'article', 'outside' or '' for an element that opens."""
     if tag in ("article", "main"):
@@ -78,12 +91,12 @@ def _kind(tag: str, attributes: str, in_article: bool) -> str:
         return "outside"
     else:
         kind = ""
-    if attributes:
+    if attributes and tag not in HOLDERS:
         for m in _NAMED.finditer(attributes):
-            said = set(_PART.findall((m[1] or m[2] or m[3] or "").lower()))
-            if said & HINTS or not in_article and kind != "article" and said & PAGE_ONLY:
+            names = (m[1] or m[2] or m[3] or "").lower().split()
+            if any(_says(name, HINTS) or not in_article and _says(name, PAGE_ONLY) for name in names):
                 return "outside"
-            if said == {"main"}:
+            if names and all(_PART.findall(name) == ["main"] for name in names):
                 kind = "article"
     return kind
 

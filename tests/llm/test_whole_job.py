@@ -35,3 +35,26 @@ def test_main_text_keeps_long_blocks_without_stop_words(text):
     page = f"<body><ul>{menu}</ul><div>scrap</div><div>{text}</div><div>{text}</div></body>"
     got = html_blocks.main_text(page).split("\n\n")
     assert got.count(text) == 2 and not any("Menu entry" in x for x in got)
+
+
+BODY = "The point of it is that the text is long and that it has the words of the language in it, as is the way of all of it, and so on."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body class="has-sidebar"><div>{BODY}</div></body>',
+        f'<html class="no-hidden menu"><body id="page" class="sidebar cookies"><p>{BODY}</p></body></html>',
+        f'<body><article class="post comments"><p>{BODY}</p></article></body>',
+        f'<body><div class="content with-sidebar"><p>{BODY}</p></div></body>',
+        f'<body><article class="related-post"><p>{BODY}</p></article></body>',
+        f'<body><main class="widget"><p>{BODY}</p></main></body>',
+    ],
+)
+def test_main_text_of_holders_named_like_boilerplate(page):
+    assert html_blocks.main_text(page) == BODY
+
+
+@pytest.mark.parametrize("name", ["sidebar", "left-sidebar", "related-posts", "cookie-notice", "comment-list", "social share", "site-footer", "x ad-slot", "nav__links", "page-header"])
+def test_main_text_drops_known_boilerplate(name):
+    assert html_blocks.main_text(f'<body><div class="{name}"><p>{BODY} Not this.</p></div><div>{BODY}</div></body>') == BODY
