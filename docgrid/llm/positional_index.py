@@ -33,18 +33,19 @@ def words(text: Column) -> Column:
 class Windows:
     """Windows of test items: ``words`` (wid, words), ``owners`` (wid, item_id), ``terms`` (tid, term), all stored.
 
-    An item of fewer words than a window, but not none, is one window. Items
-    with a null id can't be named in a result and are passed over.
+    An item of fewer words than a window, but not none, is one window. The
+    windows of items with a null id are sought like all others, but have no
+    owner, as a null can't be named in a result.
     """
 
     def __init__(self, items: DataFrame, item_id: str = "item_id", text: str = "text", width: int = WIDTH):
         self.width = width
-        cut = items.select(F.col(item_id).cast("string").alias("item_id"), words(F.col(text)).alias("w")).where("item_id is not null and size(w) > 0")
+        cut = items.select(F.col(item_id).cast("string").alias("item_id"), words(F.col(text)).alias("w")).where("size(w) > 0")
         size = F.least(F.lit(width), F.size("w"))
         slices = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice(F.col("w"), i, F.least(F.lit(width), F.size("w"))))
         owned = scratch.keep(cut.select("item_id", F.explode(slices).alias("words")).distinct(), "owned")
         self.words = scratch.keep(owned.select("words").distinct().withColumn("wid", F.monotonically_increasing_id()), "windows")
-        self.owners = scratch.keep(owned.join(self.words, "words").select("wid", "item_id"), "owners")
+        self.owners = scratch.keep(owned.where("item_id is not null").join(self.words, "words").select("wid", "item_id"), "owners")
         terms = self.words.select(F.explode("words").alias("term")).distinct()
         self.terms = scratch.keep(terms.withColumn("tid", F.monotonically_increasing_id()), "terms")
 
@@ -111,7 +112,9 @@ def contamination(rows: DataFrame, items: DataFrame, text: str = "text", item_id
 
     ``n_hit`` counts words inside any occurrence of a window. Null texts have no
     words; without items or words nothing is hit, and items_sha256 is that of
-    the empty text. Equal items with several ids are all named.
+    the empty text. Equal items with several ids are all named. Items with a null
+    id count in ``n_hit`` and ``contaminated``, but not in ``n_items`` and
+    ``items_sha256``; the SQL of op4_decontamination leaves them out of all four.
     """
     windows = Windows(items, item_id, item_text, width)
     index = Index(rows, windows, text)

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from docgrid.llm import html_blocks, subword_quality
+from docgrid.llm import html_blocks, positional_index, scratch, subword_quality
 
 
 def test_quality_reads_whole_runs_without_spaces():
@@ -58,3 +58,14 @@ def test_main_text_of_holders_named_like_boilerplate(page):
 @pytest.mark.parametrize("name", ["sidebar", "left-sidebar", "related-posts", "cookie-notice", "comment-list", "social share", "site-footer", "x ad-slot", "nav__links", "page-header"])
 def test_main_text_drops_known_boilerplate(name):
     assert html_blocks.main_text(f'<body><div class="{name}"><p>{BODY} Not this.</p></div><div>{BODY}</div></body>') == BODY
+
+
+def test_items_without_id_are_sought(spark):
+    rng = random.Random(9)
+    hidden, named = " ".join(f"h{i}" for i in range(14)), " ".join(f"n{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, f"{words(rng, 20)} {hidden}"), (2, named), (3, words(rng, 30))], "doc_id long, text string")
+    items = spark.createDataFrame([(None, hidden), (5, named), (None, named)], "item_id long, text string")
+    rows = scratch.with_row_ids(docs, "t")
+    got = rows.join(positional_index.contamination(rows, items), scratch.ROW).orderBy("doc_id").collect()
+    assert [(r["n_hit"], r["n_items"], r["contaminated"]) for r in got] == [(14, 0, True), (14, 1, True), (0, 0, False)]
+    assert [r["doc_id"] for r in positional_index.decontaminate(docs, items).collect()] == [3]
