@@ -2,7 +2,9 @@
 
 A text's lines, its paragraphs and the whole of it are normalised to lower-case
 words of letters and digits, and compared as sets of word pairs with each
-template whose size allows the wanted coefficient at all.
+template whose size allows the wanted coefficient at all. Windows of a
+template's number of words, anywhere in the text, are compared as well, and
+count where no matching segment lies.
 """
 
 from __future__ import annotations
@@ -73,6 +75,23 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
 ]
 
+_MIT, _ISC = (next(t for n, t in TEMPLATES if n == name and t.startswith("Permission")) for name in ("MIT", "ISC"))
+_AS_IS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+    "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+TEMPLATES += [
+    ("MIT", f"{_MIT} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}"),
+    (
+        "ISC",
+        f"{_ISC} THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER "
+        "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH "
+        "THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+]
+
 _WORD = re.compile(rb"[a-z0-9]+")
 
 
@@ -95,6 +114,15 @@ class Templates:
                 self.holders.setdefault(x, []).append(i)
         # of words with no pair in any template there is no need to look further
         self.words = frozenset(w for x in self.holders for w in x.split())
+        self.bodies = [(name, _WORD.findall(text.encode().lower())) for name, text in templates]
+        self.sets = [set(zip(w, w[1:])) for _, w in self.bodies]
+        # a window that matches holds least / (2 - least) of a template's pairs, so one of any choice of more than the others
+        self.anchors: dict[tuple[bytes, bytes], list[int]] = {}
+        for i, own in enumerate(self.sets):
+            spare = int(len(own) * (1 - least / (2 - least)) + 1e-9)
+            for p in sorted(own, key=lambda p: (-len(p[0]) - len(p[1]), p))[: spare + 1]:
+                self.anchors.setdefault(p, []).append(i)
+        self.marks = frozenset(max(p, key=len) for p in self.anchors)
 
     def best(self, raw: bytes) -> tuple[float, str] | None:
         """Highest coefficient of a segment, and the first licence by name that has it."""
@@ -117,6 +145,61 @@ class Templates:
         found = [x for x in found if -x[0] >= least]
         return (-min(found)[0], min(found)[1]) if found else None
 
+    def windows(self, text: bytes) -> list[tuple[float, str, int, int]]:
+        """(coefficient, name, first word, end) of all windows of a template's length that match, the best first."""
+        words = _WORD.findall(text.lower())
+        if self.marks.isdisjoint(words):
+            return []
+        all_pairs = list(zip(words, words[1:]))
+        starts: dict[int, set[int]] = {}
+        for i, p in enumerate(all_pairs):
+            for t in self.anchors.get(p, ()):
+                size = len(self.bodies[t][1])
+                starts.setdefault(t, set()).update(range(max(0, i + 2 - size), min(i, max(0, len(words) - size)) + 1))
+        found = []
+        for t, at in starts.items():
+            name, body = self.bodies[t]
+            many: Counter[tuple[bytes, bytes]] = Counter()
+            low = high = shared = 0  # pairs low to high are counted
+            for a in sorted(at):
+                end = min(a + len(body) - 1, len(all_pairs))
+                if a >= high:
+                    many.clear()
+                    low = high = a
+                    shared = 0
+                for p in all_pairs[high:end]:
+                    many[p] += 1
+                    shared += many[p] == 1 and p in self.sets[t]
+                for p in all_pairs[low:a]:
+                    many[p] -= 1
+                    if not many[p]:
+                        del many[p]
+                        shared -= p in self.sets[t]
+                low, high = a, end
+                dice = 2 * shared / (len(many) + len(self.sets[t]))
+                if dice >= self.least:
+                    found.append((dice, name, a, end + 1))
+        return sorted(found, key=lambda x: (-x[0], x[1], x[2], -x[3]))
+
+    def matches(self, text: bytes) -> list[tuple[float, str]]:
+        """Those of the segments, then those of the best windows that meet neither a matching segment nor each other."""
+        out = [m for s in segments(text) if (m := self.best(s))]
+        windows = self.windows(text)
+        taken = []
+        if windows and out:
+            for parts in (text.split(b"\n"), re.split(rb"\n[ \t\r]*\n", text), [text]):
+                at = 0
+                for s in parts:
+                    n = len(_WORD.findall(s.lower()))
+                    if self.best(s):
+                        taken.append((at, at + n))
+                    at += n
+        for dice, name, a, end in windows:
+            if all(end <= x or a >= y for x, y in taken):
+                out.append((dice, name))
+                taken.append((a, end))
+        return out
+
 
 def segments(text: bytes) -> Iterator[bytes]:
     """Lines, paragraphs of several lines, and a whole text of several paragraphs."""
@@ -145,7 +228,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = sent.value
         for b in batches:
-            found = [[m for s in segments(x.as_py() or b"") if (m := of.best(s))] for x in b.column(1)]
+            found = [of.matches(x.as_py() or b"") for x in b.column(1)]
             top = [min(((-d, n) for d, n in f), default=(None, None)) for f in found]
             cols = [pa.array([n for _, n in top], pa.string()), pa.array([d and -d for d, _ in top], pa.float64()), pa.array([len(f) for f in found], pa.int64())]
             cols.append(pa.array([sorted({n for _, n in f}) for f in found], pa.list_(pa.string())))
