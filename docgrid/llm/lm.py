@@ -1,29 +1,38 @@
 """Language-model scores: a log-bilinear model trained with noise-contrastive estimation.
 
-Tokens are the words of a text and one end. Frequent words are outputs of their
-own; all others share outputs by their last characters, and within such an
-output a word has its add-half share of the training counts. The log-bilinear
-model predicts the output from the two outputs before it: a context vector is
-the sum of a vector for each place, an output's score its product with the
-output's vector plus a bias. Training, in numpy, tells a token from noise drawn
-from the unigram distribution. Every task learns from its own partition, over all
-training texts, and the parameters are averaged in a tree of small groups.
-Scores are normalised: a batched matrix product gives the sum over all outputs
-for each context met, which a worker remembers.
+Tokens are the words of a text and one end. The end and frequent words are
+outputs of their own; all others share outputs by their last characters, and
+within such an output a word has its add-half share of the training counts. The
+log-bilinear model predicts the output from the two outputs before it: a context
+vector is the sum of a vector for each place, an output's score its product with
+the output's vector plus a bias. Outputs are numbered by their mass and dealt into
+classes of ``CLASS``; classes have vectors and biases likewise. A token's
+probability is that of its class times that of its output within the class, both
+normalised by batched matrix products, so that a token costs as much as a
+class and the list of classes, not the whole vocabulary.
+
+Training, in numpy, tells a token (and its class) from noise drawn from the
+unigram distribution. It takes ``ROUNDS`` rounds, each over its own share of
+the training texts, all together over all of them: every task starts from the
+round's parameters and learns from its partition, with steps scaled by each
+row's past gradients. Then the tasks' moves of a row are put together in a tree of
+small groups: a row whose past gradients are many moves by the tasks' mean, one
+with few by their sum, as if a single task had met it all.
 
 Exact token counts come from all training texts. Counts of the most frequent
-words, a bounded number, are broadcast; every other word of a text finds its
-count by a join.
+words, a bounded number found by a count threshold, are broadcast; every other
+word of a text finds its count by a join.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,21 +41,31 @@ from docgrid.llm import scratch
 from docgrid.llm.scratch import ROW
 from docgrid.llm.text import crc32_mod
 
-#: Words with an output of their own, endings with one, and characters of an ending.
-HEAD = 500
-TAILS = 150
+#: Most words with an output of their own, endings with one, and characters of an ending.
+WORDS = 16_000
+TAILS = 384
 ENDING = 2
+#: Outputs of a class.
+CLASS = 128
 #: Words whose counts are broadcast; the others' counts are joined.
 KNOWN = 200_000
 DIM = 24
-NOISE = 25
-BATCH = 1024
-RATE = 0.15
+NOISE = 24
+BATCH = 512
+RATE = 0.12
+ROUNDS = 3
+#: Mean square gradient that every row starts from.
+FIRST = 1e-2
 #: Distinct words that a counting task holds before it hands them on, and tokens that a training step gathers.
 HELD = 400_000
 GATHER = 400_000
-#: Parameter sets that are averaged at once.
-FAN = 16
+#: Tokens of a training task: more tasks than cores from the first on, none below the second; moves that are put together at once.
+TASK_TOKENS = 4_000_000
+LEAST_TOKENS = 1_600_000
+FAN = 8
+#: Tokens that are scored together, and bytes of text of a portion of rows.
+PORTION = 200_000
+PORTION_BYTES = 2 << 20
 
 
 def _words(raw: bytes | None) -> list[bytes]:
@@ -76,12 +95,27 @@ def _counted(held: Counter[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([tokens, pa.array(list(held.values()), pa.int64())], names=["token", "n"])
 
 
+def _step(n: str = "n"):  # noqa: ANN202
+    """Counts in steps of a sixteenth of a doubling."""
+    return F.floor(F.log2(F.col(n)) * 16)
+
+
+def _least_step(hist: list[tuple[int, int]], limit: int) -> int:
+    """The lowest step from which on there are at most ``limit`` words."""
+    lowest, many = 1 << 30, 0
+    for step, words in sorted(hist, reverse=True):
+        many += words
+        if many > limit:
+            break
+        lowest = step
+    return lowest
+
+
 class Vocabulary:
     """Outputs of the model and counts of the most frequent words; of bounded size.
 
-    Outputs: 0 the end, 1 words of no listed ending, then endings, then words of
-    their own. ``size`` is one more than the last; as a context that number
-    stands for the beginning.
+    Outputs ascend as their mass falls. ``size`` is one more than the last; as a
+    context that number stands for the beginning.
     """
 
     def __init__(self, counts: DataFrame, texts: int):
@@ -89,31 +123,43 @@ class Vocabulary:
         self.total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
         self.total += texts
         self.kinds = kinds + (texts > 0)
-        top = counts.orderBy(F.desc("n"), "token").limit(KNOWN).toArrow()
-        words, self.counts = [w.encode() for w in top["token"].to_pylist()], np.array(top["n"].to_pylist(), np.int64)
+        hist = [(r["step"], r["count"]) for r in counts.groupBy(_step().alias("step")).count().collect()]
+        known, own = _least_step(hist, KNOWN), _least_step(hist, WORDS)
+        top = counts.withColumn("step", _step()).where(F.col("step") >= known).toArrow().sort_by([("n", "descending"), ("token", "ascending")])
+        words, self.counts = [w.encode() for w in top["token"].to_pylist()], top["n"].to_numpy().astype(np.int64)
         self.index = {w: i for i, w in enumerate(words)}
-        head = F.col("token").isin([w.decode() for w in words[:HEAD]])
-        ends = counts.where(~head).groupBy(F.right("token", F.lit(ENDING)).alias("e")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+        n_own = int((top["step"].to_numpy() >= own).sum())
+        ends = counts.where(_step() < own).groupBy(F.right("token", F.lit(ENDING)).alias("e")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
         ends = scratch.keep(ends, "endings")
         best = ends.orderBy(F.desc("n"), "e").limit(TAILS).collect()
-        self.endings = {r["e"]: 2 + i for i, r in enumerate(best)}
         rest = ends.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-        mass = np.array([texts, rest[0] - sum(r["n"] for r in best), *(r["n"] for r in best)], float)
-        types = np.array([1, rest[1] - sum(r["k"] for r in best), *(r["k"] for r in best)], float)
-        first = 2 + len(best)
-        self.size = first + min(HEAD, len(words))
-        self.output = np.array([first + i if i < HEAD else self.tail(w) for i, w in enumerate(words)] or [1], np.int32)
-        share = np.concatenate([mass, self.counts[:HEAD]]) + 0.5
+        # in this order: the end, words of no listed ending, endings, words of their own
+        mass = np.array([texts, rest[0] - sum(r["n"] for r in best), *(r["n"] for r in best), *self.counts[:n_own]], float)
+        types = np.array([0, rest[1] - sum(r["k"] for r in best), *(r["k"] for r in best)], float)
+        order = np.argsort(-mass, kind="stable")
+        place = np.empty(len(mass), np.int32)
+        place[order] = np.arange(len(mass), dtype=np.int32)
+        self.size = len(mass)
+        self.end, self.other = int(place[0]), int(place[1])
+        self.endings = {r["e"]: int(place[2 + i]) for i, r in enumerate(best)}
+        share = mass[order] + 0.5
         self.log_share = np.log(share / share.sum())
-        #: log10 of what the add-half share within an output is divided by; nothing for words of their own
+        self.first = np.arange(0, self.size, CLASS)
+        self.log_class = np.log(np.add.reduceat(share, self.first) / share.sum())
+        #: log10 of what the add-half share within an output is divided by; nothing for the end and words of their own
         self.log_within = np.zeros(self.size)
-        self.log_within[1:first] = np.log10(mass + 0.5 * (types + 1))[1:]
+        shared = place[1 : len(types)]
+        self.log_within[shared] = np.log10(mass[1 : len(types)] + 0.5 * (types[1:] + 1))
+        self.shared = np.zeros(self.size, bool)
+        self.shared[shared] = True
+        first = len(types)
+        self.output = np.array([place[first + i] if i < n_own else self.tail(w) for i, w in enumerate(words)] or [self.other], np.int32)
         self.log_count = np.log10(self.counts + 0.5)
         self.log_base = np.log10(self.total + 0.5 * (self.kinds + 1))
 
     def tail(self, word: bytes) -> int:
         """The output of a word that has none of its own."""
-        return self.endings.get(word.decode("utf-8", "replace")[-ENDING:], 1)
+        return self.endings.get(word.decode("utf-8", "replace")[-ENDING:], self.other)
 
     def places(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(number among the known words or -1, output) of each word."""
@@ -134,87 +180,150 @@ def contexts(outputs: np.ndarray, starts: np.ndarray, begin: int) -> tuple[np.nd
 
 
 class Model:
-    """Parameters: vectors of the last and the last but one output, of outputs, and biases."""
+    """Parameters: vectors of the last and the last but one output, of outputs and classes, and the biases of both."""
 
-    def __init__(self, size: int, bias: np.ndarray, seed: int = 1):
+    def __init__(self, log_share: np.ndarray, log_class: np.ndarray, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.one, self.two = (rng.normal(0, 0.1, (size + 1, DIM)).astype(np.float32) for _ in range(2))
-        self.out = rng.normal(0, 0.1, (size, DIM)).astype(np.float32)
-        self.bias = bias.astype(np.float32)
+        n, k = len(log_share), len(log_class)
+        self.one, self.two, self.out, self.cls = (rng.normal(0, 0.1, (m, DIM)).astype(np.float32) for m in (n + 1, n + 1, n, k))
+        self.bias, self.cbias = log_share.astype(np.float32), log_class.astype(np.float32)
+        self.width = CLASS  # outputs of a class
 
     def parts(self) -> list[np.ndarray]:
-        return [self.one, self.two, self.out, self.bias]
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts()])
-
-    def fill(self, flat: np.ndarray) -> Model:
-        at = 0
-        for p in self.parts():
-            p[...] = flat[at : at + p.size].reshape(p.shape)
-            at += p.size
-        return self
+        return [self.one, self.two, self.out, self.cls, self.bias[:, None], self.cbias[:, None]]
+
+    def past(self) -> list[np.ndarray]:
+        """For each row the squares of the gradients that it starts from."""
+        return [np.full((len(p), 1), FIRST, np.float32) for p in self.parts()]
+
+    def copy(self) -> Model:
+        other = object.__new__(Model)
+        for name, value in vars(self).items():
+            setattr(other, name, value.copy() if isinstance(value, np.ndarray) else value)
+        return other
+
+    def log(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the normalised probabilities of outputs behind their contexts."""
+        cut = range(0, len(target), PORTION)
+        return np.concatenate([np.zeros(0, np.float32), *(self._log(*(x[k : k + PORTION] for x in (target, one, two))) for k in cut)])
+
+    def _log(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        h = self.one[one] + self.two[two]
+        cls = target // self.width
+        told = np.einsum("ij,ij->i", h, self.cls[cls]) + self.cbias[cls] - _log_sums(h, self.cls, self.cbias)
+        told += np.einsum("ij,ij->i", h, self.out[target]) + self.bias[target]
+        order = np.argsort(cls, kind="stable")
+        edge = np.flatnonzero(np.r_[True, np.diff(cls[order]) != 0, True]) if len(order) else []
+        for i, j in zip(edge[:-1], edge[1:]):
+            of = order[i:j]
+            k, n = cls[of[0]] * self.width, self.width
+            told[of] -= _log_sums(h[of], self.out[k : k + n], self.bias[k : k + n])
+        return told
+
+
+def _log_sums(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over all ``vectors`` for each context."""
+    out = np.empty(len(h), np.float32)
+    for k in range(0, len(h), 4096):
+        z = h[k : k + 4096] @ vectors.T
+        z += bias
+        high = z.max(axis=1)
+        z -= high[:, None]
+        out[k : k + 4096] = np.log(np.exp(z, out=z).sum(axis=1)) + high
+    return out
 
 
-def _gathered(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Sum of the rows of each place."""
+def _gathered(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct places, sums of their rows)."""
     order = np.argsort(at, kind="stable")
-    first = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
-    out = np.zeros((size, *rows.shape[1:]), np.float32)
-    out[at[order][first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+    sorted_ = at[order]
+    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+    return sorted_[first], np.add.reduceat(rows[order], first, axis=0)
 
 
 class Trainer:
     """Noise-contrastive estimation with steps scaled by past gradients."""
 
-    def __init__(self, model: Model, log_share: np.ndarray, seed: int):
-        self.m, self.rng = model, np.random.default_rng(seed)
-        self.cum = np.cumsum(np.exp(log_share))
-        self.log_noise = (log_share + np.log(NOISE)).astype(np.float32)
-        self.past = [np.full(p.shape, 1e-2, np.float32) for p in model.parts()]
+    def __init__(self, model: Model, past: list[np.ndarray], log_share: np.ndarray, log_class: np.ndarray, seed: int):
+        self.start, self.before = model, past
+        self.m, self.past, self.rng = model.copy(), [p.copy() for p in past], np.random.default_rng(seed)
+        self.noise = [(np.cumsum(np.exp(x)), (x + np.log(NOISE)).astype(np.float32)) for x in (log_share, log_class)]
         self.seen = 0
 
     def learn(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        self.seen += len(target)
         order = self.rng.permutation(len(target))
         for k in range(0, len(target), BATCH):
             part = order[k : k + BATCH]
             self.step(target[part], one[part], two[part])
-        self.seen += len(target)
+
+    def told_apart(self, h: np.ndarray, target: np.ndarray, vectors: np.ndarray, bias: np.ndarray, noise: tuple) -> tuple:
+        """Gradients of the contexts, of the met vectors and of their biases, for one of the two levels."""
+        cum, log_noise = noise
+        other = np.minimum(np.searchsorted(cum, self.rng.random(NOISE)), len(cum) - 1)
+        q, qn = vectors[target], vectors[other]
+        told = np.einsum("ij,ij->i", h, q) + bias[target] - log_noise[target]
+        seen = h @ qn.T + (bias[other] - log_noise[other])
+        up = 1 / (1 + np.exp(np.clip(told, -30, 30)))
+        down = -1 / (1 + np.exp(-np.clip(seen, -30, 30)))
+        at = np.concatenate([target, other])
+        rows = np.concatenate([np.c_[up[:, None] * h, up], np.c_[down.T @ h, down.sum(axis=0)]])
+        at, rows = _gathered(rows, at)
+        return up[:, None] * q + down @ qn, at, rows[:, :-1], rows[:, -1:]
 
     def step(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         m = self.m
-        noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), len(self.cum) - 1)
         h = m.one[one] + m.two[two]
-        q, qn = m.out[target], m.out[noise]
-        told = np.einsum("ij,ij->i", h, q) + m.bias[target] - self.log_noise[target]
-        other = h @ qn.T + (m.bias[noise] - self.log_noise[noise])
-        up = 1 / (1 + np.exp(np.clip(told, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(other, -30, 30)))
-        dh = up[:, None] * q + down @ qn
-        dout = _gathered(up[:, None] * h, target, len(m.out))
-        np.add.at(dout, noise, down.T @ h)
-        dbias = np.bincount(target, up, len(m.bias)).astype(np.float32)
-        np.add.at(dbias, noise, down.sum(axis=0))
-        steps = (_gathered(dh, one, len(m.one)), _gathered(dh, two, len(m.two)), dout, dbias)
-        for p, g, past in zip(m.parts(), steps, self.past):
-            g /= BATCH / 32
-            past += g * g
-            p += RATE * g / np.sqrt(past)
-
-
-def train(docs: DataFrame, voc: Vocabulary) -> Model:
-    """A model of the texts of ``docs``: each task's, weighted by its tokens and averaged."""
+        dh, at_out, out, bias = self.told_apart(h, target, m.out, m.bias, self.noise[0])
+        dc, at_cls, cls, cbias = self.told_apart(h, target // m.width, m.cls, m.cbias, self.noise[1])
+        dh += dc
+        moves = [_gathered(dh, one), _gathered(dh, two), (at_out, out), (at_cls, cls), (at_out, bias), (at_cls, cbias)]
+        for p, past, (at, g) in zip(m.parts(), self.past, moves):
+            g = g * np.float32(32 / BATCH)
+            held = past[at] + np.square(g).mean(axis=1, keepdims=True)
+            past[at] = held
+            p[at] += np.float32(RATE) * g / np.sqrt(held)
+
+    def moves(self) -> bytes:
+        """Each row's move times the square gradients that it has met, and these."""
+        grown = [new - old for new, old in zip(self.past, self.before)]
+        moved = [(new - old) * (FIRST + g) for new, old, g in zip(self.m.parts(), self.start.parts(), grown)]
+        return np.concatenate([x.ravel() for x in (*moved, *grown)]).tobytes()
+
+
+def _moved(start: Model, past: list[np.ndarray], raw: bytes) -> tuple[Model, list[np.ndarray]]:
+    """Parameters and past square gradients after the summed ``moves`` of all tasks."""
+    flat, at, out, new = np.frombuffer(raw, np.float32), 0, start.copy(), []
+    sums = []
+    for p in (*out.parts(), *past):
+        sums.append(flat[at : at + p.size].reshape(p.shape))
+        at += p.size
+    for p, before, total, grown in zip(out.parts(), past, sums, sums[6:]):
+        new.append(before + grown)
+        p += total / (FIRST + grown)
+    return out, new
+
+
+def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
+    """A model of the texts of ``docs`` (doc_id, text)."""
+    model = Model(voc.log_share, voc.log_class)
+    past = model.past()
+    share = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(rounds))
+    for k in range(rounds):
+        model, past = _round(docs.where(share == k), voc, model, past, k)
+    return model
+
+
+def _round(docs: DataFrame, voc: Vocabulary, start: Model, past: list[np.ndarray], k: int) -> tuple[Model, list[np.ndarray]]:
     spark = docs.sparkSession
-    start = Model(voc.size, voc.log_share)
-    sent = spark.sparkContext.broadcast((voc, start))
+    sent = spark.sparkContext.broadcast((voc, start, past))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        voc, model = sent.value
+        voc, model, past = sent.value
         number = TaskContext.get().partitionId()
-        trainer = Trainer(Model(voc.size, voc.log_share).fill(model.flat()), voc.log_share, number)
+        trainer = Trainer(model, past, voc.log_share, voc.log_class, number)
         outs: list[np.ndarray] = []
         held = 0
 
@@ -225,7 +334,7 @@ def train(docs: DataFrame, voc: Vocabulary) -> Model:
 
         for b in batches:
             for x in b.column(0):
-                outs.append(np.r_[voc.places(_words(x.as_py()))[1], 0])
+                outs.append(np.r_[voc.places(_words(x.as_py()))[1], voc.end])
                 held += len(outs[-1])
                 if held >= GATHER:
                     learn()
@@ -233,45 +342,24 @@ def train(docs: DataFrame, voc: Vocabulary) -> Model:
         if outs:
             learn()
         if trainer.seen:
-            whole = trainer.m.flat().astype(np.float64) * trainer.seen
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([float(trainer.seen)]), pa.array([whole.tobytes()])], names=["part", "weight", "params"])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([trainer.moves()])], names=["part", "params"])
 
-    learnt = scratch.keep(docs.select(F.col("text").cast("binary")).mapInArrow(run, "part long, weight double, params binary"), "learnt0")
+    tasks = min(max(spark.sparkContext.defaultParallelism, int(voc.total // TASK_TOKENS)), max(1, int(voc.total // LEAST_TOKENS)))
+    learnt = scratch.keep(docs.select(F.col("text").cast("binary")).coalesce(tasks).mapInArrow(run, "part long, params binary"), f"learnt{k}")
     parts = learnt.agg(F.max("part")).first()[0]
     if parts is None:
-        return start
+        return start, past
     while parts > 0:
         parts //= FAN
         learnt = learnt.withColumn("part", F.floor(F.col("part") / FAN))
-        learnt = scratch.keep(learnt.groupBy("part").applyInArrow(_added, "part long, weight double, params binary"), "learnt")
-    row = learnt.first()
-    return start.fill((np.frombuffer(row["params"]) / row["weight"]).astype(np.float32))
+        learnt = scratch.keep(learnt.groupBy("part").applyInArrow(_added, "part long, params binary"), "learnt")
+    return _moved(start, past, learnt.first()["params"])
 
 
 def _added(key: tuple, rows: pa.Table) -> pa.Table:
-    """The sum of at most FAN weighted parameter sets."""
-    whole = sum(np.frombuffer(x.as_py()) for x in rows["params"])
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "weight": pa.array([sum(rows["weight"].to_pylist())]), "params": pa.array([whole.tobytes()])})
-
-
-class Scorer:
-    """Normalised log probabilities of outputs; sums over outputs are remembered by context."""
-
-    def __init__(self, voc: Vocabulary, model: Model):
-        self.voc, self.model = voc, model
-        self.norm = np.full((voc.size + 1) ** 2, np.nan, np.float32)
-
-    def log10(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        m = self.model
-        at = one.astype(np.int64) * (self.voc.size + 1) + two
-        new = np.unique(at[np.isnan(self.norm[at])])
-        for k in range(0, len(new), 2048):
-            part = new[k : k + 2048]
-            z = (m.one[part // (self.voc.size + 1)] + m.two[part % (self.voc.size + 1)]) @ m.out.T + m.bias
-            high = z.max(axis=1)
-            self.norm[part] = high + np.log(np.exp(z - high[:, None]).sum(axis=1))
-        told = np.einsum("ij,ij->i", m.one[one] + m.two[two], m.out[target]) + m.bias[target] - self.norm[at]
-        return told.astype(np.float64) / np.log(10)
+    """The sum of the moves of at most FAN tasks or groups."""
+    whole = sum(np.frombuffer(x.as_py(), np.float32) for x in rows["params"])
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "params": pa.array([whole.tobytes()])})
 
 
 def score(docs: DataFrame, held_out_of: int = 5, held_out: int = 1) -> DataFrame:
@@ -280,10 +368,13 @@ def score(docs: DataFrame, held_out_of: int = 5, held_out: int = 1) -> DataFrame
     Rows whose crc32(doc_id as text) modulo 5 is 1 are held out of all learning.
     Scores are log10 probabilities of the whole text and its end. A null text
     counts as empty and has the end alone; without training texts nothing is
-    known and both scores are those of a single unknown token each.
+    known and both scores are those of a single unknown token each. Null ids count
+    as empty texts for the choice of what is held out; rows may repeat ids or
+    whole rows, and each is scored by itself. Other columns are passed over,
+    whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"), (crc32_mod(F.col("doc_id"), held_out_of) == held_out).alias("held_out"))
+    docs = scratch.spread(docs.select("doc_id", "text"), stored=True).select("doc_id", F.col("text").cast("binary").alias("text"), (crc32_mod(F.col("doc_id"), held_out_of) == held_out).alias("held_out"))
     learn = docs.where(~F.col("held_out"))
     counts = count_tokens(learn)
     voc = Vocabulary(counts, learn.count())
@@ -300,10 +391,11 @@ def score(docs: DataFrame, held_out_of: int = 5, held_out: int = 1) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, model = sent.value
-        scorer = Scorer(voc, model)
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                yield _scored(b.slice(k, 500), scorer, schema.names)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            edge = np.flatnonzero(np.diff(ends // PORTION_BYTES, prepend=0)) if b.num_rows else []
+            for i, j in pairwise(sorted({0, b.num_rows, *(int(k) for k in edge)})):
+                yield _scored(b.slice(i, j - i), voc, model, schema.names)
 
     cols = docs.select("doc_id", "held_out", "text")
     told = scratch.keep(cols.mapInArrow(run, schema).withColumn(ROW, F.monotonically_increasing_id()), "told")
@@ -321,25 +413,23 @@ def score(docs: DataFrame, held_out_of: int = 5, held_out: int = 1) -> DataFrame
     )
 
 
-def _scored(b: pa.RecordBatch, scorer: Scorer, names: list[str]) -> pa.RecordBatch:
+def _scored(b: pa.RecordBatch, voc: Vocabulary, model: Model, names: list[str]) -> pa.RecordBatch:
     """Scores of a batch's texts but for the counts of rare words, which are handed on by name."""
-    voc = scorer.voc
     texts = [_words(x.as_py()) for x in b.column(2)]
     size = np.array([len(t) + 1 for t in texts])
     starts = np.cumsum(size) - size
     at, out = voc.places([w for t in texts for w in (*t, b"")])
     last = starts + size - 1
-    out[last] = 0
+    out[last] = voc.end
     one, two = contexts(out, starts, voc.size)
-    told = scorer.log10(out, one, two)
+    told = model.log(out, one, two).astype(np.float64) / np.log(10)
     known = at >= 0
     known[last] = False
     part = np.where(known, voc.log_count[at] if len(voc.log_count) else 0.0, 0.0)
-    own = known & (out >= voc.size - min(HEAD, len(voc.counts)))
     end = np.log10(voc.texts + 0.5)
     base = np.add.reduceat(part, starts) + end - size * voc.log_base
-    within = np.where(own, 0.0, part - voc.log_within[out])
-    model = np.add.reduceat(told + within, starts)
+    within = np.where(voc.shared[out], part - voc.log_within[out], 0.0)
+    told = np.add.reduceat(told + within, starts)
     n_known = np.add.reduceat(known.astype(np.int64), starts) + (voc.texts > 0)
     rare, times = [], []
     missing = np.flatnonzero(~known)
@@ -348,5 +438,5 @@ def _scored(b: pa.RecordBatch, scorer: Scorer, names: list[str]) -> pa.RecordBat
         held = Counter([t[k - starts[i]] for k in missing[cut[i] : cut[i + 1] - 1].tolist()])
         rare.append([w.decode() for w in held])
         times.append(list(held.values()))
-    cols = [*b.columns[:2], pa.array(size), pa.array(n_known), pa.array(base), pa.array(model), pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
+    cols = [*b.columns[:2], pa.array(size), pa.array(n_known), pa.array(base), pa.array(told), pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
     return pa.RecordBatch.from_arrays(cols, names=names)

@@ -68,6 +68,18 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def spread(df: DataFrame, stored: bool = False) -> DataFrame:
+    """``df`` on all cores: a table of fewer splits than there are cores is dealt out anew, and ``stored`` if it is read often.
+
+    Tables of many files are left as they are, without a look at their splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or df.select(F.spark_partition_id().alias("p")).distinct().count() >= cores:
+        return df
+    dealt = df.repartition(cores)
+    return keep(dealt, "spread") if stored else dealt
+
+
 def with_row_ids(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a unique long ``ROW`` per row, stored so that it stays the same."""
     return keep(df.withColumn(ROW, F.monotonically_increasing_id()), name)

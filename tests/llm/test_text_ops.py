@@ -214,12 +214,73 @@ def test_language_model_rare_words_by_join(spark, monkeypatch):
 
 
 def test_model_is_normalised():
-    voc = type("V", (), {"size": 9})()
-    model = lm.Model(9, np.linspace(-1, 1, 9))
-    scorer = lm.Scorer(voc, model)
-    for one, two in ((0, 9), (3, 3), (9, 9)):
-        logs = scorer.log10(np.arange(9), np.full(9, one), np.full(9, two))
-        assert (10**logs).sum() == pytest.approx(1, abs=1e-5)
+    share = np.log(np.full(300, 1 / 300))
+    model = lm.Model(share, np.log([128 / 300, 128 / 300, 44 / 300]))
+    for one, two in ((0, 300), (3, 3), (300, 300)):
+        logs = model.log(np.arange(300), np.full(300, one), np.full(300, two))
+        assert np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-4)
+        h = (model.one[one] + model.two[two]).astype(float)
+        for w in (0, 130, 299):  # the formula, one output at a time
+            c = w // lm.CLASS
+            top = np.exp(model.cls @ h + model.cbias)
+            leaf = np.exp(model.out[c * lm.CLASS : (c + 1) * lm.CLASS] @ h + model.bias[c * lm.CLASS : (c + 1) * lm.CLASS])
+            assert logs[w] == pytest.approx(np.log(top[c] / top.sum() * leaf[w - c * lm.CLASS] / leaf.sum()), abs=1e-4)
+
+
+def test_scores_are_those_of_the_model_token_by_token(spark, monkeypatch):
+    monkeypatch.setattr(lm, "WORDS", 4)
+    monkeypatch.setattr(lm, "TAILS", 2)
+    monkeypatch.setattr(lm, "CLASS", 3)
+    monkeypatch.setattr(lm, "PORTION_BYTES", 64)
+    monkeypatch.setattr(lm, "PORTION", 7)
+    kept = {}
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda docs, voc: kept.setdefault("model", (voc, train(docs, voc)))[1])
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["aa", "ba", "ca", "da", "xyz", "vyz", "q"]) + rng.choice(["", "", "s"]) for _ in range(rng.randint(0, 30))) for _ in range(80)]
+    texts += ["unseen words only", None, "", "aa " * 500]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "aa ba"), (3, texts[3])], "doc_id long, text string")
+    got = lm.score(docs).collect()
+    voc, model = kept["model"]
+    from collections import Counter
+    from zlib import crc32
+
+    counts: Counter = Counter()
+    for i, t in [*enumerate(texts), (3, texts[3])]:
+        if crc32(str(i).encode()) % 5 != 1:
+            counts.update((t or "").split())
+    if crc32(b"") % 5 != 1:
+        counts.update(["aa", "ba"])
+    own = {w for w, i in voc.index.items() if not voc.shared[voc.output[i]]}
+    for r in got:
+        text = "aa ba" if r["doc_id"] is None else texts[r["doc_id"]]
+        tokens = [w.encode() for w in (text or "").split()]
+        outs = [int(voc.output[voc.index[w]]) if w in own else voc.tail(w) for w in tokens] + [voc.end]
+        want = 0.0
+        for k, o in enumerate(outs):
+            one, two = outs[k - 1] if k else voc.size, outs[k - 2] if k > 1 else voc.size
+            want += float(model.log(np.array([o]), np.array([one]), np.array([two]))[0]) / np.log(10)
+            if k < len(tokens) and voc.shared[o]:
+                members = {w: n for w, n in counts.items() if w.encode() not in own and voc.tail(w.encode()) == o}
+                want += np.log10((counts[tokens[k].decode()] + 0.5) / (sum(members.values()) + 0.5 * (len(members) + 1)))
+        assert r["score"] == pytest.approx(want, rel=1e-4, abs=1e-3), (r, tokens, outs, own, voc.endings, voc.other, voc.end, [str(x) for x in (voc.log_within, voc.shared)])
+
+
+def test_rounds_and_tasks_learn_alike(spark, monkeypatch):
+    rng = random.Random(4)
+    after = {"a": "b", "b": "c", "c": "a"}
+    texts = []
+    for _ in range(600):
+        w = ["a"]
+        while len(w) < 40:
+            w.append(after[w[-1]] if rng.random() < 0.9 else rng.choice("abc"))
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(lm, "LEAST_TOKENS", 100)
+    for parts in (1, 12):
+        rows = lm.score(docs.repartition(parts)).where("held_out").collect()
+        gain = (sum(r["score"] for r in rows) - sum(r["base_score"] for r in rows)) / sum(r["n_tokens"] for r in rows)
+        assert gain > 0.2  # log10 a token
 
 
 def brute_dice(text):
