@@ -27,9 +27,8 @@ from docgrid.llm import scratch
 from docgrid.llm.sampling import labelled_sample
 from docgrid.llm.text import crc32_mod
 
-#: Most labelled rows that lexicon and weights are fitted on, and most terms of the lexicon.
+#: Most labelled rows that lexicon and weights are fitted on; the lexicon takes all sure terms that these hold.
 SAMPLE_ROWS = 12_000
-LEXICON_TERMS = 5_000
 #: A term's lower bound of the share of toxic texts among those it occurs in.
 SURE = 0.6
 #: That of terms which explain a toxic text by themselves: less sure ones must help with texts that have none of these.
@@ -46,13 +45,21 @@ MEMORY = 400_000
 SAYING = frozenset(b"said says wrote writes called calls quote quoted dit dits sagte schrieb dijo escribi\xc3\xb3 \xc3\xa9crit".split())
 OPENS, CLOSES = "\"“„«‹‘'", "\"”“»›’'"
 _LEET = str.maketrans("013457@$", "oieastas")
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_LETTER = re.compile(r"[^\W_]")
 _INNER = re.compile(r"[\W_]+")
 
 
 def plain(token: bytes) -> tuple[str, bool]:
     """A token's letters and digits in lower case, and whether signs within it were undone."""
-    word = _EDGE.sub("", token.decode("utf-8", "replace").lower())
+    word = token.decode("utf-8", "replace").lower()
+    if word.isalpha():
+        return word, False
+    first, end = _LETTER.search(word), len(word)
+    if not first:
+        return "", False
+    while not word[end - 1].isalnum():
+        end -= 1
+    word = word[first.start() : end]
     if word.isalpha():
         return word, False
     bare = _INNER.sub("", word.translate(_LEET) if not word.isdigit() else word)
@@ -215,7 +222,11 @@ def _low(t: str, n: str):  # noqa: ANN202
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = SAMPLE_ROWS) -> tuple[Lexicon, np.ndarray]:
-    """Lexicon and weights from at most ``limit`` labelled rows whose crc32(doc_id) modulo 5 isn't 0."""
+    """Lexicon and weights from at most ``limit`` labelled rows whose crc32(doc_id) modulo 5 isn't 0.
+
+    Rows without an id or a label teach nothing; without labelled rows the lexicon
+    is empty and the weights are the prior's, so that no text is called toxic.
+    """
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, label, limit, lambda i: crc32_mod(i, 5) != 0)
     sample = scratch.keep(sample.select(F.col("text").cast("binary").alias("text"), "y"), "sample")
@@ -231,18 +242,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = S
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(y, pa.int32()), pa.array(terms, pa.list_(pa.string()))], names=["sig", "y", "terms"])
 
     told = sample.mapInArrow(words_of, "sig long, y int, terms array<string>")
-    told = scratch.keep(told.groupBy("sig", "y").agg(F.max_by("terms", F.size("terms")).alias("terms")), "texts")
+    told = told.groupBy("sig", "y").agg(F.max_by("terms", F.size("terms")).alias("terms"))
+    told = scratch.keep(told.withColumn("id", F.monotonically_increasing_id()), "texts")
     counts = told.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("t"), F.count(F.lit(1)).alias("n"))
     counts = scratch.keep(counts, "terms")
-    sure = counts.where("t >= 4").withColumn("low", _low("t", "n")).where(F.col("low") >= SURE).orderBy(F.desc("low"), "term").limit(LEXICON_TERMS).collect()
-    found = {r["term"]: float(r["low"]) for r in sure}
-    weak = [t for t, low in found.items() if low < VERY_SURE]
-    if weak and len(weak) < len(found):
-        strong = F.array(*(F.lit(t) for t in found if found[t] >= VERY_SURE))
-        rest = told.where(~F.arrays_overlap("terms", strong)).select("y", F.explode("terms").alias("term")).where(F.col("term").isin(weak))
+    sure = scratch.keep(counts.where("t >= 4").withColumn("low", _low("t", "n")).where(F.col("low") >= SURE).select("term", "low"), "sure")
+    strong = sure.where(F.col("low") >= VERY_SURE)
+    weak = sure.where(F.col("low") < VERY_SURE)
+    if not weak.isEmpty() and not strong.isEmpty():
+        each = told.select("id", "y", F.explode("terms").alias("term"))
+        explained = each.join(scratch.sized(strong.select("term")), "term", "left_semi").select("id").distinct()
+        rest = each.join(scratch.sized(weak.select("term")), "term", "left_semi").join(scratch.sized(scratch.keep(explained, "explained")), "id", "left_anti")
         rest = rest.groupBy("term").agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n")).where("t >= 3").where(_low("t", "n") >= SURE - 0.2)
-        helpful = {r["term"] for r in rest.collect()}
-        found = {t: low for t, low in found.items() if low >= VERY_SURE or t in helpful}
+        sure = strong.union(weak.join(scratch.keep(rest.select("term"), "helpful"), "term", "left_semi"))
+    found = {r["term"]: float(r["low"]) for r in sure.orderBy(F.desc("low"), "term").collect()}
     terms = {t: low for t, low in found.items() if not t.endswith("*")}
     stems = {t[:-1]: low for t, low in found.items() if t.endswith("*")}
     lexicon = Lexicon(terms, stems)
@@ -283,6 +296,9 @@ def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray]) -> DataFrame:
     """doc_id and a ``score`` from 0 to 1 for each row of ``docs`` (doc_id, text); null counts as empty.
 
     A text without hits, so also an empty one, gets the score of the bias alone.
+    Every row is scored by itself: repeated rows have equal scores, null ids stay
+    null, and an empty table gives an empty result. Other columns of ``docs`` are
+    neither read nor returned, whatever their names.
     """
     lexicon, w = model
     rows = _evidence(docs.select("doc_id", F.col("text").cast("binary").alias("text")), lexicon)
