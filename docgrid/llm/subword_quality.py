@@ -1,9 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
 A word's vector is the mean of learned vectors of the word itself and of its
-character n-grams, hashed to a fixed number of buckets; a document's is the mean
-over its words, where a word that repeats the one before it adds the vector of
-that word pair. A softmax over two classes gives the score. Vectors and output
+character n-grams, hashed to a fixed number of buckets; that of two adjacent words
+is the learned vector of their pair, hashed likewise, with a word behind itself
+the mean of it and of a vector that all such pairs share. A document's vector is
+the mean over its words and pairs. A softmax over two classes gives the score. Vectors and output
 weights are learned together by stochastic gradient descent in numpy, on a
 bounded sample of labelled rows. Because everything before the softmax is
 linear, a trained model is one number per bucket, broadcast to the tasks.
@@ -11,9 +12,8 @@ linear, a trained model is one number per bucket, broadcast to the tasks.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
-from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docgrid.llm.sampling import labelled_sample
-from docgrid.llm.text import crc32_mod
+from docgrid.llm.text import crc32_mod, free_name
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -38,7 +38,7 @@ MEMORY = 400_000
 REMEMBERED = 100
 SPAN = 10_000
 
-REPEAT, EMPTY = 0, 1  # buckets of a repeated word and of a text without words
+REPEAT, EMPTY = 0, 1  # buckets of a word behind itself and of a text without words
 
 
 def features(word: bytes) -> list[int]:
@@ -72,27 +72,48 @@ def _counted(word: bytes) -> tuple[list[int], list[int]]:
     return at.tolist(), held[at].tolist()
 
 
-def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the pairs of adjacent words, and which of them are a word behind itself."""
+    h = np.fromiter(map(crc32, words), np.uint64, len(words))
+    mixed = (h[:-1] * np.uint64(0x9E3779B1) + h[1:]) & np.uint64(0xFFFFFFFF)
+    return (2 + mixed % np.uint64(BUCKETS - 2)).astype(np.int64), h[:-1] == h[1:]
+
+
+class Features(dict):
+    """Buckets of a word of bounded length, worked out when first asked for."""
+
+    def __missing__(self, word: bytes) -> list[int]:
+        if len(self) >= MEMORY // 4:
+            self.clear()
+        f = self[word] = features(word)
+        return f
+
+
+def bag(text: bytes, known: Features | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their weights in its mean vector."""
     words = text.split()
+    known = Features() if known is None else known
     if not words:
         return np.array([EMPTY], np.int32), np.ones(1, np.float32)
-    many: dict[bytes, int] = {}
-    for w in words:
-        many[w] = many.get(w, 0) + 1
-    at, share = [REPEAT], [float(sum(map(eq, words, islice(words, 1, None))))]
-    for w, n in many.items():
+    two, again = pairs(words)
+    held = np.bincount(two, np.where(again, 0.5, 1.0), BUCKETS).astype(float)  # counts, where there are no pairs
+    held[REPEAT] += again.sum() / 2
+    at: list[int] = []
+    times: list[float] = []
+    sizes: list[int] = []
+    for w, n in Counter(words).items():
         if len(w) > REMEMBERED:
             f, often = _counted(w)
-            at += f
-            total = sum(often)
-            share += [n * k / total for k in often]
+            held[f] += n * np.array(often) / sum(often)
             continue
-        f = features(w)
+        f = known[w]
         at += f
-        share += [n / len(f)] * len(f)
-    ids, where = np.unique(np.array(at, np.int64), return_inverse=True)
-    return ids.astype(np.int32), (np.bincount(where, share) / len(words)).astype(np.float32)
+        times.append(n / len(f))
+        sizes.append(len(f))
+    held += np.bincount(np.array(at, np.int64), np.repeat(np.array(times, float), np.array(sizes, np.int64)), BUCKETS)
+    held /= 2 * len(words) - 1
+    ids = np.flatnonzero(held)
+    return ids.astype(np.int32), held[ids].astype(np.float32)
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
@@ -118,7 +139,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int =
             out -= rate * np.outer(hidden, p).astype(np.float32)
             bias -= rate * 0.1 * p.astype(np.float32)
             # a bucket's step is scaled up for its small share, as if each occurrence were a step of its own
-            vectors[ids] -= (rate * np.minimum(share * 20, 1))[:, None] * back[None, :].astype(np.float32)
+            vectors[ids] -= (rate * np.minimum(share * 40, 1))[:, None] * back[None, :].astype(np.float32)
     return vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
@@ -130,10 +151,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
     sample = labelled_sample(docs, labels, label, limit, lambda i: crc32_mod(i, 3) != 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Features()
         for b in batches:
-            for x, y in zip(b.column(0), b.column(1)):
-                ids, share = bag(x.as_py() or b"")
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([share.tobytes()]), pa.array([y.as_py()], pa.int32())], names=["ids", "share", "y"])
+            for k in range(0, b.num_rows, 100):
+                part = b.slice(k, 100)
+                bags = [bag(x.as_py() or b"", known) for x in part.column(0)]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[i].tobytes() for x in bags]) for i in (0, 1)), part.column(1)], names=["ids", "share", "y"])
 
     rows = sample.select(F.col("text").cast("binary"), "y").mapInArrow(run, "ids binary, share binary, y int").toArrow()
     if not rows.num_rows:
@@ -148,7 +171,8 @@ class Values(dict):
 
     def __init__(self, buckets: np.ndarray):
         super().__init__()
-        self.buckets = buckets.astype(float).tolist()
+        self.array = buckets.astype(float)
+        self.buckets = self.array.tolist()
 
     def __missing__(self, word: bytes) -> float:
         if len(word) > REMEMBERED:
@@ -169,24 +193,29 @@ def log_odds(values: Values, bias: float, text: bytes) -> float:
     words = text.split()
     if not words:
         return bias + values.buckets[EMPTY]
-    again = sum(map(eq, words, islice(words, 1, None)))
-    return bias + (sum(map(values.__getitem__, words)) + again * values.buckets[REPEAT]) / len(words)
+    two, again = pairs(words)
+    of_pairs = values.array[two]
+    of_pairs[again] = (of_pairs[again] + values.buckets[REPEAT]) / 2
+    return bias + (sum(map(values.__getitem__, words)) + float(of_pairs.sum())) / (2 * len(words) - 1)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a double ``name`` from 0 to 1: how likely label 1 is. Null counts as empty."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    keep = docs.drop(name)
-    cols = keep.columns
-    rows = keep.withColumn("__text", F.col(text).cast("binary"))
-    schema = T.StructType([*keep.schema.fields, T.StructField(name, T.DoubleType())])
+    """``docs`` with a double ``name`` from 0 to 1: how likely label 1 is.
+
+    A null text counts as empty and has the score of an empty one; equal texts
+    have equal scores. A column that has the name already is replaced; all others
+    stay as they are. An empty table gives an empty result.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name != name), T.StructField(name, T.DoubleType())])
+    kept = [c for c in docs.columns if c != name]
+    rows = docs.select(*(docs[f"`{c}`"] for c in kept), F.col(text).cast("binary").alias(free_name("text", docs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, bias = sent.value
         values = Values(buckets)
         for b in batches:
-            z = np.array([log_odds(values, bias, x.as_py() or b"") for x in b.column(len(cols))])
+            z = np.array([log_odds(values, bias, x.as_py() or b"") for x in b.column(len(kept))])
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], names=schema.names)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -21,3 +21,12 @@ def lower_ascii(text: Column) -> Column:
 def crc32_mod(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo ``n``; null counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name`` with as many underscores before it as no column of the tables has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
