@@ -1,20 +1,18 @@
 """BPE encoding and decoding that reuses content-defined chunks.
 
 A rolling hash over the last bytes decides where a text is cut, so equal
-passages are cut alike wherever they stand. A chunk's whole words (between its
-first and last white space) are encoded once per Python worker and then looked
-up, whichever document they come from; a chunk met for the first time is put
-together from words, of which only those not met before go through the merges.
-A cut may fall inside a word: the join is repaired by widening it to the white
-space on either side, over further chunks if need be, and encoding the word
-that it splits as a whole. White space
-is where this kind of tokenizer starts anew: it drops it, and neither its
-normaliser, its word pattern nor its merges look across it, so the pieces' ids
-joined are exactly those of the whole text (the tests hold them against it).
-Before it is cut, a text is lower-cased and its words are parted from the stops
-behind them where the tokenizer does the same anyway, so that more is met again.
-
-Only tokenizers for which this holds are accepted: see ``load``.
+passages are cut alike wherever they stand. A chunk is encoded once and then
+looked up, whichever document it comes from. Where two chunks join, a window is
+encoded anew: from the whole word before the one that the cut meets to the whole
+word behind it. Its ids take the place of both chunks' ids there if they agree
+with the left chunk on the window's first word and with the right chunk on its
+last; otherwise the window is widened over these chunks and encoded again, until
+both sides agree or the window is the text. Chunks without such words (or of one
+long word) are part of a window from the start.
+
+Agreement over a whole word is enough where white space is where encoding starts
+anew; only tokenizers for which this holds are accepted: see ``load``. The tests
+hold ids and decoded texts against the tokenizer's own.
 """
 
 from __future__ import annotations
@@ -24,7 +22,8 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from operator import itemgetter
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,69 +31,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docgrid.llm.scratch import spread
+from docgrid.llm.text import free_name
+
 #: A cut after a byte whose rolling hash has these bits at zero: 2**bits bytes a chunk on average.
-CUT_BITS = 8
-#: Bytes that the rolling hash looks back on.
+CUT_BITS = 9
+#: Bytes that the rolling hash looks back on, and those that are cut at once.
 LOOK_BACK = 16
-#: Words of a generation of a worker's memory, and how many times fewer pieces.
-MEMORY = 150_000
-PIECES_PER = 16
-
-#: Bytes of text that are cut and looked up together, and words that go through the tokenizer together.
+CUT_BYTES = 1 << 20
+#: Chunks of a generation of a worker's memory, and windows.
+MEMORY = 30_000
+#: Bytes of text that are cut and looked up together, and chunks or windows that go through the tokenizer together.
 PORTION_BYTES = 512 << 10
-RUN_WORDS = 4096
+RUN = 2048
 
-_COUNT, _IDS = itemgetter(0), itemgetter(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_STOP = re.compile(rb"(?<=[a-z])(?=[.,;:!?])")
 _GEAR = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
-
-
-def prepared(text: bytes) -> bytes:
-    """A text with A-Z in lower case and a space between such a letter and the stop behind it.
-
-    Neither changes the ids for a tokenizer that ``load`` accepts: it lower-cases
-    too, and its word pattern ends a word before a stop. Texts with combining
-    marks, which may join with a letter of one case only, and those that may
-    hold added tokens stay as they are.
-    """
-    if b"\xcc" in text or b"\xcd" in text or b"<|" in text:
-        return text
-    return _STOP.sub(b" ", text.lower())
+_HEAD = re.compile(r"[^ \t-\r]*+[ \t-\r]++")
+_WORD = re.compile(r"[^ \t-\r]++[ \t-\r]++")
+_TAIL = re.compile(r"[ \t-\r]++([^ \t-\r]++)[ \t-\r]++([^ \t-\r]*+)\Z")
 
 
 def cuts(data: np.ndarray, bits: int = CUT_BITS) -> np.ndarray:
     """Places where content-defined chunks end."""
-    gear = _GEAR[data]
-    rolled = gear.copy()
-    for k in range(1, LOOK_BACK):
-        rolled[k:] += gear[:-k] << np.uint32(k)
-    return np.flatnonzero(rolled >> np.uint32(32 - bits) == 0) + 1
-
-
-def pieces(text: bytes, bits: int = CUT_BITS) -> list[bytes]:
-    """Whole-word runs of the chunks, and between them the words that cuts split, repaired.
-
-    Their concatenation is the text, and each border has white space before it.
-    A word with a cut inside becomes a piece; words between two such pieces stay
-    together unless a cut falls on the white space between them.
-    """
+    found = []
+    for k in range(0, len(data), CUT_BYTES):
+        low = max(0, k - LOOK_BACK + 1)
+        gear = _GEAR[data[low : k + CUT_BYTES]]
+        rolled = gear.copy()
+        for i in range(1, min(LOOK_BACK, len(gear))):
+            rolled[i:] += gear[:-i] << np.uint32(i)
+        found.append(np.flatnonzero(rolled[k - low :] >> np.uint32(32 - bits) == 0) + k + 1)
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def chunks(text: bytes, bits: int = CUT_BITS) -> list[str]:
+    """A text's content-defined chunks; a cut inside a character moves behind it."""
     data = np.frombuffer(text, np.uint8)
-    end = np.flatnonzero(_SPACE[data]) + 1  # where words, with one white space each, end
-    if not len(end):
-        return [text] if text else []
-    start = np.concatenate([[0], end])
-    start = start[:-1] if end[-1] == len(data) else start
-    cut = np.zeros(len(data) + 1, bool)
-    cut[cuts(data, bits)] = True
-    inside = np.add.reduceat(cut[1:], start, dtype=np.int32)
-    last = np.append(start[1:], len(data))
-    on_end = cut[last]
-    split = inside > on_end
-    keep = split[:-1] | split[1:] | on_end[:-1]
-    edge = [0, *start[1:][keep].tolist(), len(data)]
-    return [text[i:j] for i, j in zip(edge, edge[1:])]
+    at = cuts(data, bits)
+    for _ in range(3):
+        inside = (at < len(data)) & (data[np.minimum(at, len(data) - 1)] & 0xC0 == 0x80) if len(at) else at[:0].astype(bool)
+        at = at + inside
+    edge = np.unique(np.r_[0, at, len(data)]).tolist()
+    return [text[i:j].decode() for i, j in zip(edge, edge[1:])]
 
 
 def load(path: str):  # noqa: ANN201
@@ -106,12 +84,8 @@ def load(path: str):  # noqa: ANN201
     split = next((p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"), {})
     if not (split.get("behavior") == "Removed" and split.get("invert") and spec["decoder"] is None and spec["post_processor"] is None):
         raise ValueError(f"{path}: not a tokenizer that drops white space and joins decoded tokens by spaces")
-    steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
-    words = split.get("pattern", {}).get("Regex", "")
-    if "Lowercase" not in steps or not words.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"):
-        raise ValueError(f"{path}: not a tokenizer that lower-cases and parts letters from signs")
-    if any(not t["content"].startswith("<|") for t in spec["added_tokens"]):
-        raise ValueError(f"{path}: an added token can't be told from plain text")
+    if not split.get("pattern", {}).get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"):
+        raise ValueError(f"{path}: not a tokenizer whose words end at white space")
     if any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"]):
         raise ValueError(f"{path}: an added token reaches over white space")
     found = Tokenizer.from_file(path)
@@ -120,8 +94,48 @@ def load(path: str):  # noqa: ANN201
     return found
 
 
+@dataclass(slots=True)
+class Chunk:
+    """Ids of a chunk, and where in it and in them whole words at both ends lie.
+
+    ``left``: the number of characters up to the word that a window on the left
+    ends with, and of that and it; ``right``: the place of the word that a window
+    on the right begins with, and that of the cut word behind it. ``at``: the same four
+    places in ``ids``; None if the chunk has no two such words.
+    """
+
+    ids: np.ndarray
+    left: int = 0
+    right: int = 0
+    at: tuple[int, int, int, int] | None = None
+
+
+def _tail(text: str) -> re.Match[str] | None:
+    """The last whole word and the cut one behind it, sought in an end that is widened as needed."""
+    size = 64
+    while True:
+        m = _TAIL.search(text, max(0, len(text) - size))
+        if m or size >= len(text):
+            return m
+        size *= 4
+
+
+def described(text: str, encoding) -> Chunk:  # noqa: ANN001
+    """What a window needs to know of an encoded chunk."""
+    out = Chunk(np.array(encoding.ids, np.int32))
+    head = _HEAD.match(text)
+    word = head and _WORD.match(text, head.end())
+    tail = word and _tail(text)
+    if not tail or word.end() > tail.start(1):
+        return out
+    place = [encoding.char_to_token(i) if i < len(text) else len(out.ids) for i in (head.end(), word.end(), tail.start(1), tail.start(2))]
+    if None not in place and place[0] < place[1] <= place[2] < place[3]:
+        out.left, out.right, out.at = word.end(), tail.start(1), tuple(place)
+    return out
+
+
 class Memory:
-    """Results by piece or word, in two generations.
+    """Results by text, in two generations.
 
     What is used while a generation fills moves into it; the rest is forgotten
     with the generation before, at the next ``turn`` after it is full. So
@@ -130,14 +144,14 @@ class Memory:
 
     def __init__(self, size: int):
         self.size = size
-        self.young: dict[bytes, tuple[int, bytes, bytes]] = {}
-        self.old: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.young: dict[str, Chunk] = {}
+        self.old: dict[str, Chunk] = {}
 
     def turn(self) -> None:
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
 
-    def lacking(self, wanted: set[bytes]) -> list[bytes]:
+    def lacking(self, wanted: set[str]) -> list[str]:
         """Those of ``wanted`` that aren't known; all others are in ``young`` afterwards."""
         new = wanted - self.young.keys()
         back = new & self.old.keys()
@@ -146,55 +160,108 @@ class Memory:
 
 
 class Encoder:
-    """Encodes whole texts from remembered pieces: (number of ids, ids as text, decoded text) of each."""
+    """Encodes whole texts from remembered chunks: (number of ids, ids as text, decoded text) of each."""
 
-    def __init__(self, path: str, memory: int = MEMORY):
-        self.tokenizer = load(path)
-        self.encoded = 0
+    def __init__(self, path: str, memory: int = MEMORY, bits: int = CUT_BITS):
+        self.tokenizer, self.bits = load(path), bits
+        self.encoded = self.widened = 0
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.names = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(n)]
         self.numbers = [b"%d" % i for i in range(n)]
-        self.words, self.known = Memory(memory), Memory(memory // PIECES_PER)
+        self.chunks, self.windows = Memory(memory), Memory(memory)
 
-    def _run(self, new: list[bytes]) -> None:
-        """Put words through the tokenizer."""
-        number, name, words = self.numbers.__getitem__, self.names.__getitem__, self.words.young
+    def _learn(self, memory: Memory, wanted: set[str], describe: bool) -> None:
+        """Put what ``memory`` lacks through the tokenizer."""
+        new = memory.lacking(wanted)
         self.encoded += len(new)
-        for k in range(0, len(new), RUN_WORDS):
-            part = new[k : k + RUN_WORDS]
-            for raw, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                ids = e.ids
-                words[raw] = (len(ids), b" ".join(map(number, ids)), b" ".join(map(name, ids)))
-
-    def learn(self, new: list[bytes]) -> None:
-        """Remember pieces, put together from their words."""
-        cut = [x.split() for x in new]
-        self._run(self.words.lacking({w for x in cut for w in x}))
-        words, known = self.words.young, self.known.young
-        for raw, x in zip(new, cut):
-            known[raw] = words[x[0]] if len(x) == 1 else joined([words[w] for w in x])
+        for k in range(0, len(new), RUN):
+            part = new[k : k + RUN]
+            if describe:
+                memory.young.update((x, described(x, e)) for x, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)))
+            else:
+                memory.young.update((x, Chunk(np.array(e.ids, np.int32))) for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+
+    def _windows(self, text: list[str], known: list[Chunk], whole: list[bool]) -> list[tuple[int, int, str]]:
+        """(chunk before or -1, chunk behind or their number, window) between each two chunks that aren't ``whole``ly in one.
+
+        A window reaches from the last whole word of the chunk before it to the first of that behind it.
+        """
+        out, before = [], -1
+        for i in range(len(text) + 1):
+            if i < len(text) and whole[i]:
+                continue
+            if before >= 0 or i:
+                if before < 0 and i == len(text):
+                    out.append((-1, i, "".join(text)))
+                elif not (before < 0 and i == 0) and not (before == len(text) - 1 and i == len(text)):
+                    first = text[before][known[before].right :] if before >= 0 else ""
+                    last = text[i][: known[i].left] if i < len(text) else ""
+                    out.append((before, i, "".join([first, *text[before + 1 : i], last])))
+            before = i
+        return out
 
     def encode(self, texts: list[bytes]) -> list[tuple[int, bytes, bytes]]:
         """For each text the number of ids, the decimal ids joined by spaces, and the decoded text."""
-        self.words.turn()
-        self.known.turn()
-        cut = [pieces(prepared(t)) for t in texts]
-        new = self.known.lacking(set().union(*cut))
-        if new:
-            self.learn(new)
-        known = self.known.young.__getitem__
-        return [joined(list(map(known, c))) for c in cut]
+        self.chunks.turn()
+        self.windows.turn()
+        cut = [chunks(t, self.bits) for t in texts]
+        self._learn(self.chunks, set(chain.from_iterable(cut)), True)
+        known = [list(map(self.chunks.young.__getitem__, c)) for c in cut]
+        # a chunk in a window whole: one without words of its own, but not a text's only chunk, which needs no window
+        whole = [[x.at is None and len(c) > 1 for x in c] for c in known]
+        ids: list[np.ndarray | None] = [None] * len(texts)
+        todo = list(range(len(texts)))
+        while todo:
+            found = {i: self._windows(cut[i], known[i], whole[i]) for i in todo}
+            self._learn(self.windows, {w for ws in found.values() for _, _, w in ws}, False)
+            again = []
+            for i in todo:
+                wide = self._repaired(known[i], whole[i], found[i])
+                if isinstance(wide, np.ndarray):
+                    ids[i] = wide
+                else:
+                    again.append(i)
+            todo = again
+        return [self._told(x) for x in ids]
+
+    def _repaired(self, known: list[Chunk], whole: list[bool], windows: list[tuple[int, int, str]]) -> np.ndarray | None:
+        """The ids of a text, if every window agrees with the chunks at its ends; else these go into the windows."""
+        young, agree = self.windows.young, True
+        parts: dict[int, np.ndarray] = {}
+        low, high = {}, {}
+        for a, b, w in windows:
+            ids = young[w].ids
+            parts[a] = ids
+            if a >= 0:
+                _, _, i, j = known[a].at
+                high[a] = i
+                if not np.array_equal(ids[: j - i], known[a].ids[i:j]):
+                    whole[a], agree = True, False
+            if b < len(known):
+                i, j, _, _ = known[b].at
+                low[b] = j
+                if not np.array_equal(ids[len(ids) - (j - i) :], known[b].ids[i:j]):
+                    whole[b], agree = True, False
+        if not agree:
+            self.widened += 1
+            return None
+        out = [parts[-1]] if -1 in parts else []
+        for i, x in enumerate(known):
+            if not whole[i]:
+                out.append(x.ids[low.get(i, 0) : high.get(i, len(x.ids))])
+                if i in parts:
+                    out.append(parts[i])
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
+
+    def _told(self, ids: np.ndarray) -> tuple[int, bytes, bytes]:
+        raw = ids.tolist()
+        return len(raw), b" ".join(map(self.numbers.__getitem__, raw)), b" ".join(map(self.names.__getitem__, raw))
 
     def encode_all(self, texts: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
-        """``encode`` in portions of bounded size; long texts go in parts, which end at white space."""
+        """``encode`` in portions of bounded size, or of one text."""
         held: list[bytes] = []
         size = 0
         for text in texts:
-            if len(text) > PORTION_BYTES:
-                yield from self.encode(held)
-                held, size = [], 0
-                yield joined([x for part in parts(text) for x in self.encode([part])])
-                continue
             held.append(text)
             size += len(text)
             if size > PORTION_BYTES:
@@ -203,29 +270,11 @@ class Encoder:
         yield from self.encode(held)
 
 
-def parts(text: bytes) -> Iterator[bytes]:
-    """A long text in parts of about PORTION_BYTES, each but the last up to a space or line feed."""
-    at = 0
-    while at < len(text):
-        if at + PORTION_BYTES >= len(text):
-            end = len(text)
-        else:
-            ends = [i + 1 for i in (text.find(b" ", at + PORTION_BYTES), text.find(b"\n", at + PORTION_BYTES)) if i >= 0]
-            end = min(ends, default=len(text))
-        yield text[at:end]
-        at = end
-
-
-def joined(results: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
-    """Results of adjacent pieces as one; pieces of white space alone have none."""
-    return sum(map(_COUNT, results)), b" ".join(filter(None, map(_IDS, results))), b" ".join([x[2] for x in results if x[0]])
-
-
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each file and Python worker, so that pieces stay known from task to task."""
+    """One encoder for each file and Python worker, so that chunks stay known from task to task."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         _encoders[path] = Encoder(path)
@@ -235,24 +284,29 @@ def encoder(path: str) -> Encoder:
 def encode(docs: DataFrame, path: str, ids: list[str], text: str = "text", outputs: bool = False) -> DataFrame:
     """The columns ``ids`` with n_tokens, ids_sha256, decoded_sha256 of every row.
 
-    With ``outputs`` also token_ids (decimal, space-joined) and decoded. A null
-    text counts as empty: no ids, and both digests are those of the empty text.
+    With ``outputs`` also token_ids (array of int) and decoded. A null text counts
+    as empty: no ids, and both digests are those of the empty text. Every row is
+    encoded by itself, so repeated rows and ids give repeated rows; null ids stay
+    null, and an empty table gives an empty result. Columns other than ``ids`` and
+    ``text`` are passed over, whatever their names.
     """
-    rows = docs.select(*ids, F.col(text).cast("binary").alias("__text"))
+    rows = spread(docs.select(*ids, F.col(text).cast("binary").alias(free_name("text", docs))))
     new = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    new += [("token_ids", T.StringType()), ("decoded", T.StringType())] * outputs
+    new += [("token_ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())] * outputs
     schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(n, t) for n, t in new)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path)
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
                 done = list(of.encode_all([x.as_py() or b"" for x in part.column(len(ids))]))
                 cols = [pa.array([n for n, _, _ in done], pa.int64())]
                 cols += [pa.array([hashlib.sha256(x[i]).hexdigest() for x in done], pa.string()) for i in (1, 2)]
                 if outputs:
-                    cols += [pa.array([x[i].decode() for x in done], pa.string()) for i in (1, 2)]
+                    flat = np.array([int(i) for x in done for i in x[1].split()], np.int32)
+                    cols.append(pa.ListArray.from_arrays(np.cumsum([0, *(x[0] for x in done)]).astype(np.int32), pa.array(flat)))
+                    cols.append(pa.array([x[2].decode() for x in done], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cols], names=schema.names)
 
     return rows.mapInArrow(run, schema)
