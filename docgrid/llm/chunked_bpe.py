@@ -281,18 +281,19 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode(docs: DataFrame, path: str, ids: list[str], text: str = "text", outputs: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, ids: list[str], text: str = "text", outputs: tuple[str, ...] = ()) -> DataFrame:
     """The columns ``ids`` with n_tokens, ids_sha256, decoded_sha256 of every row.
 
-    With ``outputs`` also token_ids (array of int) and decoded. A null text counts
-    as empty: no ids, and both digests are those of the empty text. Every row is
+    ``outputs`` may name token_ids (array of int) and decoded, to be returned too. A
+    null text counts as empty: no ids, and both digests are those of the empty text. Every row is
     encoded by itself, so repeated rows and ids give repeated rows; null ids stay
     null, and an empty table gives an empty result. Columns other than ``ids`` and
     ``text`` are passed over, whatever their names.
     """
     rows = spread(docs.select(*ids, F.col(text).cast("binary").alias(free_name("text", docs))))
     new = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    new += [("token_ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())] * outputs
+    more = {"token_ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}
+    new += [(name, more[name]) for name in outputs]
     schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(n, t) for n, t in new)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,10 +304,12 @@ def encode(docs: DataFrame, path: str, ids: list[str], text: str = "text", outpu
                 done = list(of.encode_all([x.as_py() or b"" for x in part.column(len(ids))]))
                 cols = [pa.array([n for n, _, _ in done], pa.int64())]
                 cols += [pa.array([hashlib.sha256(x[i]).hexdigest() for x in done], pa.string()) for i in (1, 2)]
-                if outputs:
-                    flat = np.array([int(i) for x in done for i in x[1].split()], np.int32)
-                    cols.append(pa.ListArray.from_arrays(np.cumsum([0, *(x[0] for x in done)]).astype(np.int32), pa.array(flat)))
-                    cols.append(pa.array([x[2].decode() for x in done], pa.string()))
+                for name in outputs:
+                    if name == "decoded":
+                        cols.append(pa.array([x[2].decode() for x in done], pa.string()))
+                    else:
+                        flat = np.fromiter((int(i) for x in done for i in x[1].split()), np.int32, sum(x[0] for x in done))
+                        cols.append(pa.ListArray.from_arrays(np.cumsum([0, *(x[0] for x in done)]).astype(np.int32), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cols], names=schema.names)
 
     return rows.mapInArrow(run, schema)

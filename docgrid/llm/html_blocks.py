@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docgrid.llm import scratch
+
 #: Tags that bound a block (fixed by HTML).
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -337,7 +339,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     rows, null ids and urls stay null, and an empty table gives an empty result.
     Other columns of ``pages`` are neither read nor returned, whatever their names.
     """
-    rows = pages.select("page_id", "url", F.col(html).alias("__html"))
+    rows = scratch.spread(pages.select("page_id", "url", F.col(html).alias("__html")))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

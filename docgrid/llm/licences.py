@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docgrid.llm import scratch
+
 #: Least Dice coefficient of a match.
 LEAST = 0.8
 
@@ -221,7 +223,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
     has null, null, zero and an empty list.
     """
     made = Templates(templates or TEMPLATES, least)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = scratch.spread(docs.select("doc_id", "text")).select("doc_id", F.col("text").cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(made)
 

@@ -144,4 +144,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
     """``docs`` without the rows that hold a window of a test item."""
     rows = scratch.with_row_ids(docs, "docs")
     hit = contamination(rows, items, text).where("contaminated").select(ROW)
-    return scratch.without_rows(rows, scratch.keep(hit, "contaminated"))
+    return scratch.without_rows(rows, scratch.keep(hit, "contaminated"), docs)

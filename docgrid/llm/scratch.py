@@ -15,11 +15,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgrid.llm.text import free_name
+
 #: Name of the column that ``with_row_ids`` adds.
 ROW = "__row"
 
-#: Largest number of rows (of a few small columns) that is ever broadcast.
+#: Most rows, and most bytes of their files, that are ever broadcast.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 16 << 20
 
 _local: dict[str, str] = {}
 
@@ -81,18 +84,32 @@ def spread(df: DataFrame, stored: bool = False) -> DataFrame:
 
 
 def with_row_ids(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with a unique long ``ROW`` per row, stored so that it stays the same."""
-    return keep(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+    """``df`` with a unique long ``ROW`` per row, stored so that it stays the same; a column that is called so is put aside."""
+    aside = [free_name(f"aside_{c}", df) for c in df.columns if c.lower() == ROW]
+    for c, other in zip([c for c in df.columns if c.lower() == ROW], aside):
+        df = df.withColumnRenamed(c, other)
+    return keep(spread(df).withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a stored table."""
+    spark = df.sparkSession
+    total, conf = 0, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in df.inputFiles():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return total
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a stored table for broadcast if it has at most ``limit`` rows.
+    """Mark a stored table for broadcast if it has at most ``limit`` rows and its files BROADCAST_BYTES.
 
-    Beyond that the table is returned as it is, and Spark joins by a shuffle.
+    Beyond either the table is returned as it is, and Spark joins by a shuffle.
     """
-    return F.broadcast(df) if df.count() <= limit else df
+    return F.broadcast(df) if df.count() <= limit and stored_bytes(df) <= BROADCAST_BYTES else df
 
 
-def without_rows(df: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``ROW`` isn't in ``dropped``; the column goes."""
-    return df.join(sized(dropped), ROW, "left_anti").drop(ROW)
+def without_rows(rows: DataFrame, dropped: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of ``rows`` (from ``with_row_ids``) whose ``ROW`` isn't in ``dropped``, with the columns of ``docs``."""
+    left = rows.join(sized(dropped), ROW, "left_anti").drop(ROW)
+    return left.toDF(*docs.columns)

@@ -11,15 +11,18 @@ them, so every link lies within some shard. Each shard gets a BK-tree, whose
 children are keyed by their integer Hamming distance to the parent; a search
 follows only the edges within ``radius`` of the distance it has measured. The
 trees grow with the data, so they are not broadcast: fingerprints are sent to
-the tree of their shard. A shard too large for one task is cut into chunks
-whose trees meet chunk by chunk. A shard returns a spanning forest of its
-links, never all its pairs.
+the tree of their shard. A shard too large for one task is dealt anew: the bits
+that its members don't share yet are cut into ``radius + 1`` blocks, on one of
+which two linked members agree, and so on for up to ``LEVELS`` levels. What is
+large even then differs in few bits, and is cut into chunks whose trees meet chunk
+by chunk. A shard returns a spanning forest of its links, never all its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +34,16 @@ from pyspark.sql import types as T
 from docgrid.llm import scratch
 from docgrid.llm.components import components
 from docgrid.llm.scratch import ROW
+from docgrid.llm.text import free_name
 
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
-#: Fingerprints that one task gathers, and those of a shard above which it is cut into chunks.
+#: Fingerprints that one task gathers, and those of a shard above which it is dealt anew or cut into chunks.
 TASK_ROWS = 200_000
-CHUNK_ROWS = 20_000
+HOT_ROWS = 20_000
+#: How often large shards are dealt anew.
+LEVELS = 2
 #: Mean fingerprints of a shard above which shards agree on one more block.
 SHARD_ROWS = 512
 #: Tree nodes that a step of a search looks at together.
@@ -69,7 +75,7 @@ def fingerprints(docs: DataFrame, ids: list[str], text: str = "text", shingle: i
     A text of fewer words than a shingle counts as one shingle; a null text or
     one without words gets fingerprint zero.
     """
-    rows = docs.select(*ids, F.col(text).cast("binary").alias("__text"))
+    rows = scratch.spread(docs.select(*ids, F.col(text).cast("binary").alias(free_name("text", docs))))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fingerprint", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,34 +181,60 @@ def shard_plan(n: int, radius: int) -> tuple[int, int]:
     return radius + agree, agree
 
 
-def _shards(prints: DataFrame, blocks: int, agree: int) -> DataFrame:
-    """(fp, shard): every fingerprint once for each choice of blocks."""
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def masks(blocks: int, agree: int) -> list[int]:
+    """Bits of every choice of ``agree`` of the blocks."""
     edge = [64 * k // blocks for k in range(blocks + 1)]
-    keys = []
-    for t, chosen in enumerate(combinations(range(blocks), agree)):
-        mask = sum(((1 << edge[k + 1]) - 1) ^ ((1 << edge[k]) - 1) for k in chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed)).alias("bits")))
-    return prints.select("fp", F.explode(F.array(*keys)).alias("s")).select("fp", "s.t", "s.bits")
+    return [_signed(sum(((1 << edge[k + 1]) - 1) ^ ((1 << edge[k]) - 1) for k in chosen)) for chosen in combinations(range(blocks), agree)]
+
+
+def finer_masks(mask: int, radius: int) -> list[int]:
+    """``mask`` with each of ``radius + 1`` blocks of the other bits added; two values that agree on it and are linked agree on one of these."""
+    free = [k for k in range(64) if not mask >> k & 1]
+    blocks = [free[len(free) * i // (radius + 1) : len(free) * (i + 1) // (radius + 1)] for i in range(radius + 1)]
+    return [_signed((mask & (1 << 64) - 1) | sum(1 << k for k in block)) for block in blocks]
+
+
+def _shards(prints: DataFrame, radius: int, blocks: int, agree: int) -> DataFrame:
+    """(fp, mask, bits): every fingerprint once for each choice of blocks, and those of large shards once more for each finer choice."""
+    spark = prints.sparkSession
+    choices = [F.lit(m) for m in masks(blocks, agree)]
+    dealt = prints.select("fp", F.explode(F.array(*choices)).alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+    small = None
+    for _ in range(LEVELS):
+        hot = dealt.groupBy("mask", "bits").count().where(F.col("count") > HOT_ROWS).select("mask", "bits")
+        hot = scratch.keep(hot.where(F.bit_count("mask") < 64 - radius), "hot")
+        found = [r["mask"] for r in hot.select("mask").distinct().collect()]
+        if not found:
+            break
+        rest = dealt.join(scratch.sized(hot), ["mask", "bits"], "left_anti")
+        small = rest if small is None else small.unionByName(rest)
+        finer = spark.createDataFrame([(m, f) for m in found for f in finer_masks(m, radius)], "mask long, finer long")
+        dealt = dealt.join(scratch.sized(hot), ["mask", "bits"], "left_semi").join(F.broadcast(finer), "mask")
+        dealt = dealt.select("fp", F.col("finer").alias("mask")).distinct()
+        dealt = scratch.keep(dealt.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask"))), "dealt")
+    return dealt if small is None else small.unionByName(dealt)
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links that join all distinct fingerprints ``fp`` which links within ``radius`` join."""
     n = prints.count()
-    dealt = _shards(prints, *shard_plan(n, radius))
-    large = dealt.groupBy("t", "bits").count().where(F.col("count") > CHUNK_ROWS)
-    large = scratch.keep(large.select("t", "bits", F.ceil(F.col("count") / CHUNK_ROWS).cast("int").alias("chunks")), "large")
+    blocks, agree = shard_plan(n, radius)
+    dealt = _shards(prints, radius, blocks, agree)
+    large = dealt.groupBy("mask", "bits").count().where(F.col("count") > HOT_ROWS)
+    large = scratch.keep(large.select("mask", "bits", F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("chunks")), "large")
     if large.isEmpty():
-        tasks = dealt.select("fp", "t", "bits", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+        tasks = dealt.select("fp", "mask", "bits", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
     else:
-        cut = dealt.join(large, ["t", "bits"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        cut = dealt.join(scratch.sized(large), ["mask", "bits"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         cut = cut.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        tasks = cut.select("fp", "t", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    _, agree = shard_plan(n, radius)
-    tables = len(list(combinations(range(radius + agree), agree)))
-    parts = max(prints.sparkSession.sparkContext.defaultParallelism, n * tables // TASK_ROWS + 1)
-    tasks = tasks.withColumn("shard", F.xxhash64("t", "bits", "i", "j")).repartition(parts, "shard")
+        tasks = cut.select("fp", "mask", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    parts = max(prints.sparkSession.sparkContext.defaultParallelism, n * comb(blocks, agree) // TASK_ROWS + 1)
+    tasks = tasks.withColumn("shard", F.xxhash64("mask", "bits", "i", "j")).repartition(parts, "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
@@ -240,7 +272,10 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of every group: the smallest ``doc_id`` (null ids last), then the smallest ``ROW``."""
+    """``docs`` with one row of every group: the smallest ``doc_id`` (null ids last), then the first row.
+
+    Columns keep their names and values, whatever they are called.
+    """
     rows = scratch.with_row_ids(docs, "docs")
     prints = scratch.keep(fingerprints(rows.select(ROW, F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), [ROW, "doc_id"], "text", shingle), "fingerprints")
     near = near_groups(prints, radius).withColumnRenamed("fp", "fingerprint")
@@ -248,4 +283,4 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radi
     least = scratch.keep(prints.groupBy("fingerprint").agg(first.alias("low")).join(near, "fingerprint"), "least")
     stay = scratch.keep(least.groupBy("label").agg(F.min("low").alias("low")).select(F.col(f"low.{ROW}").alias(ROW)), "stay")
     gone = scratch.keep(prints.select(ROW).join(stay, ROW, "left_anti"), "gone")
-    return scratch.without_rows(rows, gone)
+    return scratch.without_rows(rows, gone, docs)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docgrid.llm import scratch
 from docgrid.llm.sampling import labelled_sample
 from docgrid.llm.text import crc32_mod, free_name
 
@@ -209,7 +210,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != name), T.StructField(name, T.DoubleType())])
     kept = [c for c in docs.columns if c != name]
-    rows = docs.select(*(docs[f"`{c}`"] for c in kept), F.col(text).cast("binary").alias(free_name("text", docs)))
+    rows = scratch.spread(docs.select(*(docs[f"`{c}`"] for c in kept), F.col(text).cast("binary").alias(free_name("text", docs))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, bias = sent.value

@@ -301,6 +301,6 @@ def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray]) -> DataFrame:
     neither read nor returned, whatever their names.
     """
     lexicon, w = model
-    rows = _evidence(docs.select("doc_id", F.col("text").cast("binary").alias("text")), lexicon)
+    rows = _evidence(scratch.spread(docs.select("doc_id", "text")).select("doc_id", F.col("text").cast("binary").alias("text")), lexicon)
     z = F.lit(float(w[0])) + sum(F.col(c) * float(v) for c, v in zip(("a", "b", "c"), w[1:]))
     return rows.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0))))).alias("score"))

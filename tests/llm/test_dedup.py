@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from data import DOC_SCHEMA, documents
 
-from docgrid.llm import block_names, components, scratch, simhash
+from docgrid.llm import block_names, components, near_sets, positional_index, scratch, simhash, subword_quality
 
 
 def lower(text):
@@ -119,9 +119,11 @@ def test_forest_search_is_complete(radius):
     assert found == want
 
 
-@pytest.mark.parametrize("limit", [20_000, 25])
-def test_links_join_what_brute_force_joins(spark, monkeypatch, limit):
-    monkeypatch.setattr(simhash, "CHUNK_ROWS", limit)
+@pytest.mark.parametrize(("limit", "mean", "agree"), [(20_000, 512, 1), (25, 512, 1), (20_000, 0.02, 2), (20, 0.0001, 3)])
+def test_links_join_what_brute_force_joins(spark, monkeypatch, limit, mean, agree):
+    monkeypatch.setattr(simhash, "HOT_ROWS", limit)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", mean)
+    assert simhash.shard_plan(300, 4)[1] == agree
     rng = random.Random(limit)
     prints = set()
     for _ in range(8):
@@ -141,6 +143,31 @@ def test_links_join_what_brute_force_joins(spark, monkeypatch, limit):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("radius", [1, 4])
+def test_finer_masks_keep_every_link(radius):
+    rng = random.Random(radius)
+    masks = simhash.masks(*simhash.shard_plan(10**7, radius))
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, radius)))
+        agreed = [m % 2**64 for m in masks if not (a ^ b) & m]
+        assert agreed
+        for m in agreed:
+            finer = simhash.finer_masks(m, radius)
+            assert len(finer) == radius + 1 and all(f & m == m for f in (x % 2**64 for x in finer)) and any(not (a ^ b) & f for f in finer)
+
+
+def test_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, "q", "t", "x"), (2, "A b", 8, "q", "t", "x"), (3, None, 9, "q", "t", "x")], "doc_id long, text string, __row long, __quality string, __text string, label string")
+    items = spark.createDataFrame([(1, "zz")], "item_id long, text string")
+    for got, ids in ((block_names.exact_dedup(docs), [2, 3]), (simhash.near_dedup(docs), [1, 3]), (near_sets.near_dedup(docs), [1, 3]), (positional_index.decontaminate(docs, items), [1, 2, 3])):
+        assert got.columns == docs.columns
+        assert sorted((r["doc_id"], r["__row"]) for r in got.collect()) == [(i, i + 6) for i in ids]
+    model = (np.zeros(subword_quality.BUCKETS, np.float32), 0.5)
+    got = subword_quality.score(docs, model, name="__quality")
+    assert got.columns == ["doc_id", "text", "__row", "__text", "label", "__quality"] and {r["__text"] for r in got.collect()} == {"t"}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["label"] for r in components.components(links).collect()}

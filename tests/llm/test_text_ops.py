@@ -75,7 +75,7 @@ def test_bpe_of_long_texts(spark):
     texts = [passage * 12, "x" * 300_000, passage[:5000] + "日本語" * 100_000, " ".join(["one"] * 50_000), passage]
     docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, __text string")
     assert max(map(len, texts)) > 1 << 20
-    got = {r["doc_id"]: r for r in chunked_bpe.encode(docs, WORD_BPE, ["doc_id", "__text"], outputs=True).collect()}
+    got = {r["doc_id"]: r for r in chunked_bpe.encode(docs, WORD_BPE, ["doc_id", "__text"], outputs=("token_ids", "decoded")).collect()}
     for i, t in enumerate(texts):
         ids, decoded = whole(SMALL_CHUNKS[0].tokenizer, t)
         assert (got[i]["token_ids"], got[i]["decoded"], got[i]["n_tokens"], got[i]["__text"]) == (ids, decoded, len(ids), "c")
