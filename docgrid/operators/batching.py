@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docgrid.functions.scalars import ceiling_width, prepared_width
 from docgrid.options import Options
@@ -22,7 +23,8 @@ def _numbered(lines: DataFrame, groups: list[str], order: list[str]) -> DataFram
     Rows are numbered within page groups, and only the page groups' counts are
     summed up in order, so that no window gathers all lines of a width.
     """
-    cells = lines.withColumn("_pages", F.floor(F.col("page_id") / PAGE_GROUP))
+    named = isinstance(lines.schema["page_id"].dataType, T.StringType)  # names have no groups that keep their order but themselves
+    cells = lines.withColumn("_pages", F.col("page_id") if named else F.floor(F.col("page_id") / PAGE_GROUP))
     inner = Window.partitionBy(*groups, "_pages").orderBy(*order)
     cells = cells.withColumn("_in", F.row_number().over(inner) - 1)
     upto = Window.partitionBy(*groups[:-1]).orderBy(groups[-1], "_pages").rowsBetween(Window.unboundedPreceding, -1)

@@ -66,6 +66,18 @@ def decode(lines: DataFrame, codec: Mapping[int, str]) -> DataFrame:
     return made.withColumns({"text": text_of(F.col("_e"), codec), "confidence": confidence}).drop("_e", "logits")
 
 
+def decode_either(lines: DataFrame, codec: Mapping[int, str]) -> DataFrame:
+    """``decode_ids`` where a line has ``class_ids``, ``decode`` of its ``logits`` elsewhere."""
+    ids = F.slice("class_ids", F.lit(1), F.greatest(F.lit(0), F.least(F.size("class_ids"), F.col("valid_steps"))))
+    told = F.transform(ids, lambda c: F.struct(c.alias("best"), F.lit(None).cast("float").alias("top")))
+    found = best_classes(F.col("logits"), F.col("classes"), F.col("steps"), F.col("valid_steps"))
+    made = lines.withColumn("_e", emissions(F.when(F.col("class_ids").isNotNull(), told).otherwise(found)))
+    total = F.aggregate("_e", F.lit(0.0), lambda a, s: a + s["top"].cast("double"))
+    confidence = F.when(F.size("_e") > 0, total / F.nullif(F.size("_e"), F.lit(0))).otherwise(F.lit(0.0))
+    confidence = F.when(F.col("class_ids").isNull(), confidence)
+    return made.withColumns({"text": text_of(F.col("_e"), codec), "confidence": confidence}).drop("_e", "logits", "class_ids")
+
+
 def decode_ids(lines: DataFrame, codec: Mapping[int, str]) -> DataFrame:
     """``lines`` (class_ids, valid_steps, ...) with text; such models have no confidence (null)."""
     valid = F.slice("class_ids", F.lit(1), F.greatest(F.lit(0), F.least(F.size("class_ids"), F.col("valid_steps"))))

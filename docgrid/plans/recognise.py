@@ -47,6 +47,7 @@ def prepare(pages: DataFrame, options: Options, layout: LayoutProvider | None =
         scale = options.layout_scale
         seen = rgb if scale == 1 else resize(rgb, max(1, int(h * scale + 0.5)), max(1, int(w * scale + 0.5)))
         found = np.asarray(layout(seen, crop.layout_dpi(scale), options.layout_psm, options.layout_binary), float) / scale
+        found = np.array(order.ordered([tuple(b) for b in found.reshape(-1, 4).tolist()], w, h))
         l, t, r, b = crop.MARGINS
         return [(int(max(0, x0 - l)), int(max(0, y0 - t)), int(max(1, min(w, x1 + r) - max(0, x0 - l))), int(max(1, min(h, y1 + b) - max(0, y0 - t)))) for x0, y0, x1, y1 in found.reshape(-1, 4)]
 
@@ -76,13 +77,17 @@ def prepare(pages: DataFrame, options: Options, layout: LayoutProvider | None =
 
 
 def infer(lines: DataFrame, options: Options, recogniser: Recogniser) -> DataFrame:
-    """(page_id, line_no, logits, classes, steps, valid_steps): lines of like width run together.
+    """(page_id, line_no, logits, class_ids, classes, steps, valid_steps): lines of like width run together.
 
-    Lines are dealt by bucket and page group and sorted by it, so that a task's
-    batches hold like widths; a line's preprocessing never depends on its batch.
+    Lines are sorted by width within their partition, not moved between tasks, so
+    that a task's batches hold like widths; a line's preprocessing never depends
+    on its batch. A model gives logits or class ids; the other column is null.
+    With ``options.sort`` widths ascend without buckets.
     """
     made = batching.with_width(lines, options).withColumn("bucket", F.ceil(F.col("prepared") / options.bucket).cast("int"))
-    made = made.repartition("bucket", F.pmod(F.xxhash64("page_id"), F.lit(64))).sortWithinPartitions("bucket", "page_id", "line_no")
+    if options.sort:
+        made = made.withColumn("bucket", F.lit(0))
+    made = made.sortWithinPartitions("bucket", *(["prepared"] if options.sort else []), "page_id", "line_no")
 
     def tensor(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         widths = np.array([r["prepared"] for r in rows], np.int64)
@@ -99,15 +104,17 @@ def infer(lines: DataFrame, options: Options, recogniser: Recogniser) -> DataFra
 
     def told(rows: list[dict]) -> pa.RecordBatch:
         logits, valid = recogniser(*tensor(rows))
+        ids = logits.ndim == 2
         cols = [
             pa.array([r["page_id"] for r in rows]),
             pa.array([r["line_no"] for r in rows], pa.int32()),
-            pa.array([x.ravel().astype(np.float32) for x in logits], pa.list_(pa.float32())),
-            pa.array([logits.shape[1]] * len(rows), pa.int32()),
-            pa.array([logits.shape[2]] * len(rows), pa.int32()),
+            pa.array([None if ids else x.ravel().astype(np.float32) for x in logits], pa.list_(pa.float32())),
+            pa.array([x.astype(np.int32) if ids else None for x in logits], pa.list_(pa.int32())),
+            pa.array([None if ids else logits.shape[1]] * len(rows), pa.int32()),
+            pa.array([logits.shape[-1]] * len(rows), pa.int32()),
             pa.array(np.asarray(valid), pa.int32()),
         ]
-        return pa.RecordBatch.from_arrays(cols, names=["page_id", "line_no", "logits", "classes", "steps", "valid_steps"])
+        return pa.RecordBatch.from_arrays(cols, names=["page_id", "line_no", "logits", "class_ids", "classes", "steps", "valid_steps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -121,18 +128,18 @@ def infer(lines: DataFrame, options: Options, recogniser: Recogniser) -> DataFra
             yield told(held)
 
     cols = made.select("page_id", "line_no", "width", "height", "rgb", "prepared", "bucket")
-    return cols.mapInArrow(run, "page_id string, line_no int, logits array<float>, classes int, steps int, valid_steps int")
+    return cols.mapInArrow(run, "page_id string, line_no int, logits array<float>, class_ids array<int>, classes int, steps int, valid_steps int")
 
 
 def recognise_lines(lines: DataFrame, options: Options, recogniser: Recogniser, codec: Mapping[int, str]) -> DataFrame:
     """(page_id, line_no, text, confidence, retried) of every line that has a raster."""
     lines = lines.where("error is null")
-    first = decode.decode(infer(lines, options, recogniser), codec).select("page_id", "line_no", "text", "confidence").withColumn("retried", F.lit(False))
+    first = decode.decode_either(infer(lines, options, recogniser), codec).select("page_id", "line_no", "text", "confidence").withColumn("retried", F.lit(False))
     if options.retry > 0 and options.scale < options.retry_scale:
         first = first.persist()  # asked twice, and dear to infer
         doubt = decode.uncertain(first, options.retry).select("page_id", "line_no")
         again = lines.join(doubt, ["page_id", "line_no"], "left_semi")
-        again = decode.decode(infer(again, replace(options, scale=options.retry_scale), recogniser), codec)
+        again = decode.decode_either(infer(again, replace(options, scale=options.retry_scale), recogniser), codec)
         first = decode.overlay(first.drop("retried"), again, ["page_id", "line_no"])
     return first
 
@@ -143,6 +150,8 @@ def recognise(pages: DataFrame, options: Options, recogniser: Recogniser, codec:
     Lines and first results are asked more than once and so kept, in memory or on
     disk; what an executor takes with it is worked out again.
     """
+    if hasattr(recogniser, "check"):
+        recogniser.check()
     lines = prepare(pages, options, layout).persist()
     texts = text.page_text(recognise_lines(lines, options, recogniser, codec))
     failed = lines.where("error is not null").select("page_id", F.col("error").alias("failure"))

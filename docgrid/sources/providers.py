@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from typing import Protocol
 
 import numpy as np
@@ -44,6 +45,11 @@ class OnnxRecogniser:
     def __init__(self, path: str, threads: int = 1):
         self.path, self.threads, self.session = path, threads, None
 
+    def check(self) -> None:
+        """Fail before any task runs if the model isn't there."""
+        if not os.path.isfile(self.path):
+            raise FileNotFoundError(f"no model file {self.path}")
+
     def __getstate__(self) -> dict:
         return {"path": self.path, "threads": self.threads, "session": None}
 
@@ -58,6 +64,7 @@ class OnnxRecogniser:
         out = dict(zip(names, self.session.run(None, {"image": lines, "sequence_lengths": widths})))
         told = out.get("class_ids", out.get("logits", out[names[0]]))
         told = told.reshape(told.shape[0], -1, told.shape[-1]) if told.ndim > 2 else told
+        told = told[:, 0] if "class_ids" in out and told.ndim == 3 else told
         return told, out.get("output_lengths", np.full(len(lines), told.shape[-1]))
 
 

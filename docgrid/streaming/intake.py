@@ -10,9 +10,13 @@ from docgrid.plans.recognise import prepare
 from docgrid.sources.images import from_images
 
 
+#: What Spark's image source reads; a stream must name it.
+IMAGE_SCHEMA = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+
+
 def image_stream(spark: SparkSession, path: str) -> DataFrame:
     """Pages of the image files that appear in a folder."""
-    return from_images(spark.readStream.format("image").load(path))
+    return from_images(spark.readStream.schema(IMAGE_SCHEMA).format("image").load(path))
 
 
 def store_lines(pages: DataFrame, options: Options, out: str, checkpoint: str) -> StreamingQuery:
