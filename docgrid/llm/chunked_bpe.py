@@ -2,7 +2,8 @@
 
 A rolling hash over the last bytes decides where a text is cut, so equal
 passages are cut alike wherever they stand. A chunk is encoded once and then
-looked up, whichever document it comes from. Where two chunks join, a window is
+looked up, whichever document it comes from; of a new chunk only words that no
+chunk of late had go through the tokenizer. Where two chunks join, a window is
 encoded anew: from the whole word before the one that the cut meets to the whole
 word behind it. Its ids take the place of both chunks' ids there if they agree
 with the left chunk on the window's first word and with the right chunk on its
@@ -23,7 +24,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,15 @@ CUT_BITS = 9
 #: Bytes that the rolling hash looks back on, and those that are cut at once.
 LOOK_BACK = 16
 CUT_BYTES = 1 << 20
-#: Chunks of a generation of a worker's memory, and windows.
+#: Chunks of a generation of a worker's memory, windows, and words.
 MEMORY = 30_000
+WORDS = 150_000
 #: Bytes of text that are cut and looked up together, and chunks or windows that go through the tokenizer together.
 PORTION_BYTES = 512 << 10
-RUN = 2048
+RUN = 4096
 
 _GEAR = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
+_PLAIN = re.compile(r"[^ \t-\r]+")
 _HEAD = re.compile(r"[^ \t-\r]*+[ \t-\r]++")
 _WORD = re.compile(r"[^ \t-\r]++[ \t-\r]++")
 _TAIL = re.compile(r"[ \t-\r]++([^ \t-\r]++)[ \t-\r]++([^ \t-\r]*+)\Z")
@@ -120,17 +123,20 @@ def _tail(text: str) -> re.Match[str] | None:
         size *= 4
 
 
-def described(text: str, encoding) -> Chunk:  # noqa: ANN001
-    """What a window needs to know of an encoded chunk."""
-    out = Chunk(np.array(encoding.ids, np.int32))
+def described(text: str, words: list[list[int]]) -> Chunk:
+    """A chunk from the ids of its words, and what a window needs to know of it."""
+    out = Chunk(np.fromiter(chain.from_iterable(words), np.int32))
     head = _HEAD.match(text)
     word = head and _WORD.match(text, head.end())
     tail = word and _tail(text)
     if not tail or word.end() > tail.start(1):
         return out
-    place = [encoding.char_to_token(i) if i < len(text) else len(out.ids) for i in (head.end(), word.end(), tail.start(1), tail.start(2))]
-    if None not in place and place[0] < place[1] <= place[2] < place[3]:
-        out.left, out.right, out.at = word.end(), tail.start(1), tuple(place)
+    first = 0 if text[0] in " \t\n\v\f\r" else 1  # the word behind the one that a cut may have met
+    last = len(words) - (2 if tail[2] else 1)
+    end = list(accumulate(map(len, words), initial=0))
+    place = end[first], end[first + 1], end[last], end[last + 1]
+    if place[0] < place[1] <= place[2] < place[3]:
+        out.left, out.right, out.at = word.end(), tail.start(1), place
     return out
 
 
@@ -144,8 +150,8 @@ class Memory:
 
     def __init__(self, size: int):
         self.size = size
-        self.young: dict[str, Chunk] = {}
-        self.old: dict[str, Chunk] = {}
+        self.young: dict = {}
+        self.old: dict = {}
 
     def turn(self) -> None:
         if len(self.young) > self.size:
@@ -168,18 +174,27 @@ class Encoder:
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.names = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(n)]
         self.numbers = [b"%d" % i for i in range(n)]
-        self.chunks, self.windows = Memory(memory), Memory(memory)
+        self.chunks, self.windows, self.words = Memory(memory), Memory(memory), Memory(WORDS)
 
-    def _learn(self, memory: Memory, wanted: set[str], describe: bool) -> None:
-        """Put what ``memory`` lacks through the tokenizer."""
-        new = memory.lacking(wanted)
+    def _through(self, texts: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Texts with their ids from the tokenizer."""
+        for k in range(0, len(texts), RUN):
+            part = texts[k : k + RUN]
+            yield from zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+
+    def _learn_chunks(self, wanted: set[str]) -> None:
+        new = self.chunks.lacking(wanted)
+        self.encoded += len(new)
+        cut = [_PLAIN.findall(x) for x in new]
+        self.words.young.update(self._through(self.words.lacking(set(chain.from_iterable(cut)))))
+        word = self.words.young.__getitem__
+        self.chunks.young.update((x, described(x, list(map(word, w)))) for x, w in zip(new, cut))
+
+    def _learn_windows(self, wanted: set[str]) -> None:
+        """Windows go through the tokenizer whole."""
+        new = self.windows.lacking(wanted)
         self.encoded += len(new)
-        for k in range(0, len(new), RUN):
-            part = new[k : k + RUN]
-            if describe:
-                memory.young.update((x, described(x, e)) for x, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)))
-            else:
-                memory.young.update((x, Chunk(np.array(e.ids, np.int32))) for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+        self.windows.young.update((x, np.array(ids, np.int32)) for x, ids in self._through(new))
 
     def _windows(self, text: list[str], known: list[Chunk], whole: list[bool]) -> list[tuple[int, int, str]]:
         """(chunk before or -1, chunk behind or their number, window) between each two chunks that aren't ``whole``ly in one.
@@ -204,8 +219,9 @@ class Encoder:
         """For each text the number of ids, the decimal ids joined by spaces, and the decoded text."""
         self.chunks.turn()
         self.windows.turn()
+        self.words.turn()
         cut = [chunks(t, self.bits) for t in texts]
-        self._learn(self.chunks, set(chain.from_iterable(cut)), True)
+        self._learn_chunks(set(chain.from_iterable(cut)))
         known = [list(map(self.chunks.young.__getitem__, c)) for c in cut]
         # a chunk in a window whole: one without words of its own, but not a text's only chunk, which needs no window
         whole = [[x.at is None and len(c) > 1 for x in c] for c in known]
@@ -213,7 +229,7 @@ class Encoder:
         todo = list(range(len(texts)))
         while todo:
             found = {i: self._windows(cut[i], known[i], whole[i]) for i in todo}
-            self._learn(self.windows, {w for ws in found.values() for _, _, w in ws}, False)
+            self._learn_windows({w for ws in found.values() for _, _, w in ws})
             again = []
             for i in todo:
                 wide = self._repaired(known[i], whole[i], found[i])
@@ -230,7 +246,7 @@ class Encoder:
         parts: dict[int, np.ndarray] = {}
         low, high = {}, {}
         for a, b, w in windows:
-            ids = young[w].ids
+            ids = young[w]
             parts[a] = ids
             if a >= 0:
                 _, _, i, j = known[a].at
