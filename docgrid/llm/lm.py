@@ -51,7 +51,7 @@ CLASS = 128
 KNOWN = 200_000
 DIM = 24
 NOISE = 24
-BATCH = 512
+BATCH = 1024
 RATE = 0.12
 ROUNDS = 3
 #: Mean square gradient that every row starts from.
@@ -227,9 +227,12 @@ def _log_sums(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarra
     for k in range(0, len(h), 4096):
         z = h[k : k + 4096] @ vectors.T
         z += bias
-        high = z.max(axis=1)
-        z -= high[:, None]
-        out[k : k + 4096] = np.log(np.exp(z, out=z).sum(axis=1)) + high
+        with np.errstate(over="ignore", divide="ignore"):
+            told = np.log(np.exp(z).sum(axis=1))
+        if not np.isfinite(told).all():  # too large or too small for plain sums
+            high = z.max(axis=1)
+            told = np.log(np.exp(z - high[:, None]).sum(axis=1)) + high
+        out[k : k + 4096] = told
     return out
 
 
