@@ -60,10 +60,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
+    forget_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_at_end(spark: SparkSession, path: str) -> None:
+    """Remove a path when the Python process ends, if Spark still runs."""
+    atexit.register(_forget, spark, path)
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)

@@ -118,6 +118,8 @@ class _Input:
         while (i := self.held.find(mark, start)) < 0:
             start = max(0, len(self.held) - len(mark) + 1)
             if not self.more():
+                if self.held.strip():
+                    raise ValueError("an archive ends inside a record's header")
                 return None
         out, self.held = self.held[:i], self.held[i + len(mark) :]
         return out
@@ -129,6 +131,8 @@ class _Input:
             while n_left and (got := self.file.read(n_left)):
                 parts.append(got)
                 n_left -= len(got)
+            if n_left:
+                raise ValueError(f"an archive ends {n_left} bytes before its last record does")
             return b"".join(parts)
         out, self.held = self.held[:n], self.held[n:]
         return out
@@ -253,10 +257,13 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` to archives in the shared folder, read them back, and describe each record.
 
     Digests and lengths of responses are those of the payloads read; those of
-    revisits come from their headers.
+    revisits come from their headers. Every row gives one record, repeated rows and
+    null ids too; an empty table gives an empty result. Other columns of ``pages``
+    are passed over, whatever their names. The archives go when the Python process ends.
     """
     spark = pages.sparkSession
     path = scratch.new_path(spark, "warc")
+    scratch.forget_at_end(spark, path)
     write(pages, path)
     got = read(spark, path)
     return got.select(

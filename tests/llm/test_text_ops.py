@@ -400,3 +400,19 @@ def test_warc_pushdown(spark):
     reader = warc.WarcReader({"path": "x"})
     left = list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit"), warc.EqualTo(("content_length",), 3)]))
     assert len(left) == 1 and reader.wanted == [("warc-type", frozenset(["revisit"]))]
+
+
+def test_warc_truncated_and_packed(tmp_path):
+    import gzip
+
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(record * 3)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record) + gzip.compress(record))
+    reader = warc.WarcReader({"path": str(tmp_path)})
+    rows = [b for part in reader.partitions() for b in reader.read(part)]
+    assert [p for b in rows for p in b.column("payload").to_pylist()] == [b"hello"] * 5
+    for cut in (record[:30], record[:-7]):
+        (tmp_path / "a.warc").write_bytes(record + cut)
+        with pytest.raises(ValueError, match="archive ends"):
+            for part in reader.partitions():
+                list(reader.read(part))
