@@ -29,6 +29,8 @@ from docgrid.llm.text import crc32_mod, free_name
 BUCKETS = 1 << 16
 DIM = 8
 EPOCHS = 6
+#: Steps that a small sample is learnt for at least, in more epochs.
+LEAST_STEPS = 3_000
 RATE = 0.4
 NGRAMS = (3, 4)
 #: Most labelled rows that the model is fitted on.
@@ -124,8 +126,9 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int =
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     ones = max(1, int(y.sum()))
     weigh = np.sqrt(np.array([len(y) / 2 / max(1, len(y) - ones), len(y) / 2 / ones]))  # the rarer class counts somewhat more
-    steps, done = EPOCHS * len(y), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, LEAST_STEPS // max(1, len(y)))
+    steps, done = epochs * len(y), 0
+    for _ in range(epochs):
         for k in rng.permutation(len(y)):
             rate = RATE * (1 - done / steps)
             done += 1
