@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrid.llm import block_names, chunked_bpe, html_blocks, licences, lm, positional_index, scratch, simhash, subword_quality, toxicity, warc
+from docgrid.llm import block_names, chunked_bpe, filter_audit, html_blocks, licences, lm, periodic_runs, positional_index, repeats, scratch, simhash, subword_quality, toxicity, warc
 from docgrid.llm.text import crc32_mod
 
 #: Where the public tokenizer files are; a parameter, they are not part of the repository.
@@ -73,6 +73,27 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "licence", F.round("dice", 9).alias("dice"), "n_matches", F.array_join("licences", ",").alias("licences"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scratch.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.find_runs(docs.select("doc_id", periodic_runs.plant(F.col("text"), F.col("doc_id")).alias("text")), ["doc_id"])
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, period = (-F.col("b.s")).alias("start"), (-F.col("b.p")).alias("period")
+    exponent = F.floor(1000 * F.col("b.length") / -F.col("b.p")).alias("exponent_milli")
+    return found.select("doc_id", "n_runs", start, F.col("b.length").alias("length"), period, exponent, "runs_sha256", "collapsed_sha256")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -84,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_licences": op10_licences,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_repeats": op13_repeats,
 }
 
 _A_TO_Z = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
