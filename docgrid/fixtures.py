@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PAGE_WIDTH, PAGE_HEIGHT = 900, 1200
+PAGE_WIDTH, PAGE_HEIGHT = 1240, 1754
 RASTER_WIDTH = 40
 #: Total order of lineitem rows: its order and line number alone aren't unique.
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
@@ -23,24 +23,52 @@ def _lines(spark: SparkSession, sf_dir: str, orders: int) -> DataFrame:
 
 
 def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-column pages of 900 x 1200; by page number footnotes in both columns, none, or in the left alone."""
+    """Two-column pages of ``PAGE_WIDTH`` x ``PAGE_HEIGHT``; by page number footnotes in both columns, none, or in the left alone.
+
+    Rows are dealt to the columns in turn. Indents, widths, pitches and heights come from
+    the rows' part and supplier numbers.
+    """
     page = Window.partitionBy("page_id")
-    made = _lines(spark, sf_dir, 8).select("page_id", "s", F.count(F.lit(1)).over(page).alias("n"))
-    made = made.select("page_id", (F.col("s") % 2).alias("c"), F.floor(F.col("s") / 2).cast("int").alias("r"), "n")
-    made = made.withColumn("m", F.floor((F.col("n") + 1 - F.col("c")) / 2))
-    note = (F.col("r") >= F.col("m") - 4) & ((F.col("page_id") % 3 == 0) | ((F.col("page_id") % 3 == 2) & (F.col("c") == 0)))
+    a, b, c, r = F.col("l_partkey"), F.col("l_suppkey"), F.col("c"), F.col("r")
+    made = _lines(spark, sf_dir, 8).select("page_id", "s", F.count(F.lit(1)).over(page).alias("n"), a, b)
+    made = made.select("page_id", (F.col("s") % 2).alias("c"), F.floor(F.col("s") / 2).cast("int").alias("r"), "n", a, b)
+    made = made.withColumn("m", F.floor((F.col("n") + 1 - c) / 2))
+    note = (r >= F.col("m") - 4) & ((F.col("page_id") % 3 == 0) | ((F.col("page_id") % 3 == 2) & (c == 0)))
     made = made.withColumn("note", note.cast("int")).withColumn("ord", F.row_number().over(page.orderBy("c", "r")) - 1)
-    y0 = F.when(F.col("note") == 1, 900 + 20 * (F.col("r") - (F.col("m") - 4))).otherwise(120 + 25 * F.col("r")).cast("int")
-    made = made.withColumns({"x0": F.when(F.col("c") == 0, 75).otherwise(465) + 15 * F.col("note"), "y0": y0, "x1": F.when(F.col("c") == 0, 435).otherwise(825)})
-    return made.withColumn("y1", F.col("y0") + F.when(F.col("note") == 1, 16).otherwise(20)).select("page_id", "ord", "x0", "y0", "x1", "y1")
+    x0 = 90 + 573 * c + a % 17 + F.col("note") * (b % 29)
+    low = 1390 + 22 * (r - (F.col("m") - 4)) + a % 2
+    y0 = F.when(F.col("note") == 1, low).otherwise(151 + 31 * r + b % 3)
+    tall = F.when(F.col("note") == 1, 13 + b % 3).otherwise(22 + a % 4)
+    made = made.withColumns({"x0": x0.cast("int"), "y0": y0.cast("int"), "x1": (x0 + 410 + (a * 7 + b) % 41).cast("int")})
+    return made.withColumn("y1", (F.col("y0") + tall).cast("int")).select("page_id", "ord", "x0", "y0", "x1", "y1")
 
 
 def headed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_boxes, every fifth page with a running title and a rule below it."""
     boxes = page_boxes(spark, sf_dir)
     pages = boxes.select("page_id").distinct().where("page_id % 5 = 0")
-    head = lambda o, y0, y1: pages.select("page_id", F.lit(o).alias("ord"), F.lit(20).alias("x0"), F.lit(y0).alias("y0"), F.lit(880).alias("x1"), F.lit(y1).alias("y1"))
-    return boxes.unionByName(head(-2, 20, 40)).unionByName(head(-1, 40, 48))
+    p = F.col("page_id")
+
+    def head(order: int, y0, tall) -> DataFrame:  # noqa: ANN001
+        made = [F.lit(order).alias("ord"), F.lit(33).alias("x0"), y0.cast("int").alias("y0"), (PAGE_WIDTH - 40 + p % 7).cast("int").alias("x1"), (y0 + tall).cast("int").alias("y1")]
+        return pages.select("page_id", *made)
+
+    return boxes.unionByName(head(-2, 30 + p % 9, F.lit(21))).unionByName(head(-1, 64 + p % 11, 5 + p % 4))
+
+
+def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, block_no, type, lines): every order as a block of 16 types, its rows as the block's lines."""
+    rows = _lines(spark, sf_dir, 8).select("page_id", F.col("l_orderkey").alias("block_no"), "s", "l_partkey")
+    x0, y0 = (F.col("l_partkey") % 50).cast("int"), (20 * F.col("s")).cast("int")
+    line = F.struct("s", x0.alias("x0"), y0.alias("y0"), (x0 + 300).alias("x1"), (y0 + 15).alias("y1"))
+    made = rows.groupBy("page_id", "block_no").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return made.withColumn("type", (F.col("block_no") % 16).cast("int"))
+
+
+def codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_brand, codec): a JSON object a brand, from each type of its parts to the list of their sizes."""
+    sizes = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.array_sort(F.collect_set("p_size")).alias("ids"))
+    return sizes.groupBy("p_brand").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("p_type", "ids")))).alias("codec"))
 
 
 def line_dims(spark: SparkSession, sf_dir: str) -> DataFrame:

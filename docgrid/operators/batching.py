@@ -4,33 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docgrid.functions.scalars import ceiling_width, prepared_width
 from docgrid.options import Options
-
-#: Pages whose lines are numbered together before the groups' counts are added up.
-PAGE_GROUP = 1024
+from docgrid.sources import stored
 
 
 def with_width(lines: DataFrame, options: Options) -> DataFrame:
     return lines.withColumn("prepared", prepared_width(F.col("width"), F.col("height"), F.lit(options.scale), options.pad, options.line_height))
 
 
-def _numbered(lines: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
-    """``lines`` with ``number``: the row's place, from 0, in its group of ``groups[:-1]`` by ``groups[-1]``, then ``order``.
+def _numbered(lines: DataFrame, order: list[str]) -> DataFrame:
+    """``lines`` with ``number``: the row's place, from 0, in its bucket by ``order``.
 
-    Rows are numbered within page groups, and only the page groups' counts are
-    summed up in order, so that no window gathers all lines of a width.
+    Rows are dealt out by range of bucket and order, and numbered where they are. Only
+    the counts a bucket and partition, at most one more than there are partitions and
+    buckets together, are summed up in order; so no window gathers a bucket, whatever
+    its keys are.
     """
-    named = isinstance(lines.schema["page_id"].dataType, T.StringType)  # names have no groups that keep their order but themselves
-    cells = lines.withColumn("_pages", F.col("page_id") if named else F.floor(F.col("page_id") / PAGE_GROUP))
-    inner = Window.partitionBy(*groups, "_pages").orderBy(*order)
-    cells = cells.withColumn("_in", F.row_number().over(inner) - 1)
-    upto = Window.partitionBy(*groups[:-1]).orderBy(groups[-1], "_pages").rowsBetween(Window.unboundedPreceding, -1)
-    before = cells.groupBy(*groups, "_pages").agg(F.count(F.lit(1)).alias("_n"))
-    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n")
-    return cells.join(before, [*groups, "_pages"]).withColumn("number", F.col("_in") + F.col("_before")).drop("_in", "_before", "_pages")
+    dealt = lines.repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order)
+    dealt = stored.kept(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    counts = dealt.groupBy("bucket", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n")
+    numbered = dealt.join(F.broadcast(counts), ["bucket", "_part"])
+    return numbered.withColumn("number", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_part", "_first", "_before")
 
 
 def plan(lines: DataFrame, options: Options, across_pages: bool = True) -> DataFrame:
@@ -49,8 +47,7 @@ def plan(lines: DataFrame, options: Options, across_pages: bool = True) -> DataF
         made = made.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
     else:
         keys = ["bucket"]
-        groups = ["bucket", "prepared"] if options.sort else ["bucket", "_one"]
-        made = _numbered(made.withColumn("_one", F.lit(0)), groups, ["page_id", "line_no"]).drop("_one")
+        made = _numbered(made, order)
     made = made.withColumn("batch_no", F.floor(F.col("number") / options.batch)).drop("number")
     widest = F.max("prepared").over(Window.partitionBy(*keys, "batch_no"))
     return made.withColumn("batch_width", ceiling_width(widest, options.widths))

@@ -1,20 +1,57 @@
 """Greedy decoding of a model's output, and the second look at uncertain lines.
 
-A line's logits stay one array: arg-max, collapse of repeats and the joining of
-characters are higher-order functions on it, without a shuffle.
+The best class of each step is found in the model's own task (``best_arrays``), or by
+higher-order functions on stored logits (``best_classes``). Collapse of repeats and the
+joining of characters are higher-order functions on the steps, without a shuffle.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def codec_map(codec: Mapping[int, str]) -> Column:
-    """Class id to character; a bounded table of the model."""
-    return F.create_map(*(F.lit(x) for item in codec.items() for x in item))
+#: What is kept of a step: its best class, and that class's logit (null where a model gives classes alone).
+STEPS = "array<struct<best:int,top:float>>"
+_STEP = (pa.field("best", pa.int32()), pa.field("top", pa.float32()))
+
+
+def codec_array(codec: Mapping[int, str]) -> Column:
+    """Characters at the places of their classes, one literal; classes without a character have empty ones."""
+    characters = [codec.get(i, "") for i in range(1 + max(codec, default=0))]
+    return F.from_json(F.lit(json.dumps(characters)), "array<string>")
+
+
+def best_kernel(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[n, classes, steps] -> best class and its logit of each step; the first of equals, NaN below all."""
+    values = np.where(np.isnan(logits), -np.inf, logits)
+    best = values.argmax(axis=1)
+    return best, np.take_along_axis(values, best[:, None], axis=1)[:, 0]
+
+
+def best_arrays(best: np.ndarray, top: np.ndarray | None, valid: np.ndarray) -> pa.Array:
+    """A list of ``STEPS`` for each line, of its valid steps alone."""
+    many = np.clip(np.asarray(valid, np.int64), 0, best.shape[1])
+    inside = np.arange(best.shape[1])[None, :] < many[:, None]
+    tops = pa.nulls(int(many.sum()), pa.float32()) if top is None else pa.array(top[inside].astype(np.float32))
+    steps = pa.StructArray.from_arrays([pa.array(best[inside].astype(np.int32)), tops], fields=_STEP)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), steps)
+
+
+def confidences(best: np.ndarray, top: np.ndarray, valid: np.ndarray) -> list[float]:
+    """The confidence that ``decode_steps`` gives each line."""
+    out = []
+    for b, t, v in zip(best, top, valid):
+        b = b[: max(0, int(v))]
+        emitted = (b != 0) & (b != np.concatenate([[0], b[:-1]]))[: len(b)]
+        found = t[: len(b)][emitted].astype(np.float32).tolist()
+        out.append(sum(found) / len(found) if found else 0.0)
+    return out
 
 
 def invert_codec(codec: Mapping[str, list[int]]) -> dict[int, str]:
@@ -50,8 +87,8 @@ def emissions(best: Column) -> Column:
 
 
 def text_of(emitted: Column, codec: Mapping[int, str]) -> Column:
-    known = codec_map(codec)
-    return F.array_join(F.transform(emitted, lambda s: F.coalesce(F.try_element_at(known, s["best"]), F.lit(""))), "")
+    known = codec_array(codec)
+    return F.array_join(F.transform(emitted, lambda s: F.coalesce(F.get(known, s["best"]), F.lit(""))), "")
 
 
 def decode(lines: DataFrame, codec: Mapping[int, str]) -> DataFrame:
@@ -66,16 +103,17 @@ def decode(lines: DataFrame, codec: Mapping[int, str]) -> DataFrame:
     return made.withColumns({"text": text_of(F.col("_e"), codec), "confidence": confidence}).drop("_e", "logits")
 
 
-def decode_either(lines: DataFrame, codec: Mapping[int, str]) -> DataFrame:
-    """``decode_ids`` where a line has ``class_ids``, ``decode`` of its ``logits`` elsewhere."""
-    ids = F.slice("class_ids", F.lit(1), F.greatest(F.lit(0), F.least(F.size("class_ids"), F.col("valid_steps"))))
-    told = F.transform(ids, lambda c: F.struct(c.alias("best"), F.lit(None).cast("float").alias("top")))
-    found = best_classes(F.col("logits"), F.col("classes"), F.col("steps"), F.col("valid_steps"))
-    made = lines.withColumn("_e", emissions(F.when(F.col("class_ids").isNotNull(), told).otherwise(found)))
+def decode_steps(lines: DataFrame, codec: Mapping[int, str], steps: str = "steps", scored: str = "scored") -> DataFrame:
+    """``lines`` with text and confidence in place of ``steps`` and ``scored``.
+
+    Confidence is that of ``decode``, and null where a line isn't ``scored``, as of a
+    model that gives classes alone. Lines whose steps are null have a null text.
+    """
+    made = lines.withColumn("_e", emissions(F.col(steps)))
     total = F.aggregate("_e", F.lit(0.0), lambda a, s: a + s["top"].cast("double"))
-    confidence = F.when(F.size("_e") > 0, total / F.nullif(F.size("_e"), F.lit(0))).otherwise(F.lit(0.0))
-    confidence = F.when(F.col("class_ids").isNull(), confidence)
-    return made.withColumns({"text": text_of(F.col("_e"), codec), "confidence": confidence}).drop("_e", "logits", "class_ids")
+    confidence = F.when(F.col(scored), F.when(F.size("_e") > 0, total / F.nullif(F.size("_e"), F.lit(0))).otherwise(F.lit(0.0)))
+    told = {"text": F.when(F.col(steps).isNotNull(), text_of(F.col("_e"), codec)), "confidence": F.when(F.col(steps).isNotNull(), confidence)}
+    return made.withColumns(told).drop("_e", steps, scored)
 
 
 def decode_ids(lines: DataFrame, codec: Mapping[int, str]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,3 +42,27 @@ def throughput(timings: DataFrame, key: str, seconds: str) -> DataFrame:
     """(key, pages, seconds, pages_per_second), rounded to 6 digits as sums of doubles depend on their order."""
     told = timings.groupBy(key).agg(F.count(F.lit(1)).alias("pages"), F.round(F.sum(seconds), 6).alias("seconds"))
     return told.withColumn("pages_per_second", F.round(F.col("pages") / F.nullif(F.col("seconds"), F.lit(0.0)), 6))
+
+
+class RunTimings:
+    """Seconds of a run's stages, added up in its tasks, and what it counted on the way.
+
+    Pass one to ``recognise`` and ask it after the result was written or counted. Stage
+    seconds are those of all tasks together; tasks that Spark had to run again count
+    again. The counts come with the first action on what ``watch`` returned.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.layout, self.inference = spark.sparkContext.accumulator(0.0), spark.sparkContext.accumulator(0.0)
+        self.spark, self.began, self.counted = spark, time.perf_counter(), None
+
+    def watch(self, results: DataFrame) -> DataFrame:
+        """``results`` of pages (line_count, error), observed as they pass."""
+        self.counted = Observation()
+        return results.observe(self.counted, F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("line_count"), F.lit(0)).alias("lines"), F.count("error").alias("failed"))
+
+    def table(self) -> DataFrame:
+        """One row: seconds since the start, layout_seconds, inference_seconds, pages, lines, failed."""
+        counts = self.counted.get if self.counted else {"pages": None, "lines": None, "failed": None}
+        row = (time.perf_counter() - self.began, self.layout.value, self.inference.value, counts["pages"], counts["lines"], counts["failed"])
+        return self.spark.createDataFrame([row], "seconds double, layout_seconds double, inference_seconds double, pages long, lines long, failed long")

@@ -11,6 +11,12 @@ from docgrid.operators.pixels import gray_kernel, otsu_kernel
 
 #: Pixels darker than this count for rules, whatever the page's threshold.
 RULE_DARK = 160
+#: Trimming (fixed values): how far a page is reduced, the sum of r, g and b from which a pixel is
+#: white, the margin around what isn't, and the share of the page from which it isn't worth it.
+TRIM_FACTOR = 8
+TRIM_WHITE = 720
+TRIM_MARGIN = 48
+TRIM_WHOLE = 0.95
 
 
 def _is_dark(limit: Column | int) -> Column:
@@ -103,13 +109,13 @@ def ink_box(pixels: DataFrame, dark: DataFrame, found: DataFrame, key: str = "pa
     return span.join(wide, key).select(key, "start", "end", left.alias("left"), F.greatest(right, left + 1).alias("right"))
 
 
-def trim_box(pixels: DataFrame, key: str = "page_id", factor: int = 8, margin: int = 48) -> DataFrame:
+def trim_box(pixels: DataFrame, key: str = "page_id", factor: int = TRIM_FACTOR, margin: int = TRIM_MARGIN) -> DataFrame:
     """(key, x0, y0, x1, y1): the box of what isn't white on a page reduced by ``factor``, in page pixels.
 
     ``pixels`` is the reduced page. Boxes of 95 % of the page or more, and pages
-    without ink, give the whole page.
+    without ink or with ink in one reduced row or column alone, give the whole page.
     """
-    hit = (F.col("r") + F.col("g") + F.col("b")) < 720
+    hit = (F.col("r") + F.col("g") + F.col("b")) < TRIM_WHITE
     box = pixels.groupBy(key).agg(
         *(f(F.when(hit, F.col(c))).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("low_", F.min), ("high_", F.max))),
         (F.max("width") * factor).alias("w"),
@@ -122,7 +128,7 @@ def trim_box(pixels: DataFrame, key: str = "page_id", factor: int = 8, margin: i
         "y1": F.least(F.col("h"), (F.col("high_y") + 1) * factor + margin),
     }
     box = box.withColumns(edges)
-    use = F.coalesce((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")) & ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) < F.col("w") * F.col("h") * F.lit(0.95)), F.lit(False))
+    use = F.coalesce((F.col("high_x") > F.col("low_x")) & (F.col("high_y") > F.col("low_y")) & ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) < F.col("w") * F.col("h") * F.lit(TRIM_WHOLE)), F.lit(False))
     whole = {"x0": F.lit(0), "y0": F.lit(0), "x1": F.col("w"), "y1": F.col("h")}
     return box.select(key, *(F.when(use, F.col(c)).otherwise(v).cast("int").alias(c) for c, v in whole.items()))
 
@@ -204,3 +210,24 @@ def drop_header(lines: list[tuple[int, int, int, int]], width: int, height: int)
     typical = (sizes[len(sizes) // 2] if sizes else 0) or 1
     rule = next((x for x in lines if x[1] < height * 0.1 and x[2] > width * 0.85 and x[3] < typical * 0.55), None)
     return [x for x in lines if x[1] > rule[1]] if rule else lines
+
+
+def reduced(rgb: np.ndarray, factor: int = TRIM_FACTOR) -> np.ndarray:
+    """A page reduced by ``factor``: the mean, rounded half up, of each block of pixels, those at the edges cut short."""
+    h, w = rgb.shape[:2]
+    rows, cols = np.arange(0, h, factor), np.arange(0, w, factor)
+    sums = np.add.reduceat(np.add.reduceat(rgb.astype(np.int64), rows, axis=0), cols, axis=1)
+    size = np.diff(np.append(rows, h))[:, None] * np.diff(np.append(cols, w))[None, :]
+    return ((2 * sums + size[:, :, None]) // (2 * size[:, :, None])).astype(np.uint8)
+
+
+def trim_kernel(rgb: np.ndarray) -> tuple[int, int, int, int]:
+    """``trim_box`` of one page, reduced here."""
+    h, w = rgb.shape[:2]
+    ink = reduced(rgb).astype(int).sum(axis=-1) < TRIM_WHITE
+    x, y = np.flatnonzero(ink.any(axis=0)), np.flatnonzero(ink.any(axis=1))
+    if len(x) < 2 or len(y) < 2:
+        return 0, 0, w, h
+    low = [max(0, int(v[0]) * TRIM_FACTOR - TRIM_MARGIN) for v in (x, y)]
+    high = [min(size, (int(v[-1]) + 1) * TRIM_FACTOR + TRIM_MARGIN) for v, size in ((x, w), (y, h))]
+    return (*low, *high) if (high[0] - low[0]) * (high[1] - low[1]) < w * h * TRIM_WHOLE else (0, 0, w, h)

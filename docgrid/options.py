@@ -19,6 +19,7 @@ class Options:
     scale: float = 1.0
     line_height: int = 48
     sort: bool = False
+    batches: str = "local"
     pre: str = "none"
     widths: tuple[int, ...] = ()
     segmentation: str = "fast"
@@ -37,6 +38,8 @@ class Options:
             raise ValueError(f"unknown preprocessing {self.pre!r}")
         if self.segmentation not in ("fast", "none", "layout"):
             raise ValueError(f"unknown segmentation {self.segmentation!r}")
+        if self.batches not in ("local", "planned"):
+            raise ValueError(f"unknown batches {self.batches!r}")
         if self.on_error not in ("column", "raise"):
             raise ValueError(f"unknown error policy {self.on_error!r}")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from docgrid.functions import scalars
 from docgrid.operators import batching, crop, decode, metrics, order, pixels, segment, stats, text
 from docgrid.options import PROFILES, Options
 from docgrid.plans import recognise
+from docgrid.sources import assets
 from docgrid.sources.providers import StubRecogniser
 
 WIDTHS = (256, 512, 1024, 2048)
@@ -42,12 +44,12 @@ def _numbered(orders: int, also: str = "") -> str:
 
 
 BOXES = f"""
-b0 AS (SELECT page_id, s, count(*) OVER (PARTITION BY page_id) AS n FROM {_numbered(8)}),
-b1 AS (SELECT page_id, s % 2 AS c, s // 2 AS r, (n + 1 - s % 2) // 2 AS m FROM b0),
+b0 AS (SELECT page_id, s, count(*) OVER (PARTITION BY page_id) AS n, l_partkey AS a, l_suppkey AS b FROM {_numbered(8, ", l_partkey, l_suppkey")}),
+b1 AS (SELECT page_id, s % 2 AS c, s // 2 AS r, (n + 1 - s % 2) // 2 AS m, a, b FROM b0),
 b2 AS (SELECT *, CASE WHEN r >= m - 4 AND (page_id % 3 = 0 OR page_id % 3 = 2 AND c = 0) THEN 1 ELSE 0 END AS note FROM b1),
-boxes AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY c, r) - 1 AS ord,
-  CASE WHEN c = 0 THEN 75 ELSE 465 END + 15 * note AS x0, CASE WHEN note = 1 THEN 900 + 20 * (r - (m - 4)) ELSE 120 + 25 * r END AS y0,
-  CASE WHEN c = 0 THEN 435 ELSE 825 END AS x1, CASE WHEN note = 1 THEN 900 + 20 * (r - (m - 4)) + 16 ELSE 120 + 25 * r + 20 END AS y1 FROM b2)"""
+b3 AS (SELECT page_id, c, r, note, a, b, row_number() OVER (PARTITION BY page_id ORDER BY c, r) - 1 AS ord, 90 + 573 * c + a % 17 + note * (b % 29) AS x0,
+  CASE WHEN note = 1 THEN 1390 + 22 * (r - (m - 4)) + a % 2 ELSE 151 + 31 * r + b % 3 END AS y0 FROM b2),
+boxes AS (SELECT page_id, ord, x0, y0, x0 + 410 + (a * 7 + b) % 41 AS x1, y0 + CASE WHEN note = 1 THEN 13 + b % 3 ELSE 22 + a % 4 END AS y1 FROM b3)"""
 RASTER = f"""
 r0 AS (SELECT page_id, s % 40 AS x, s // 40 AS y, l_partkey, l_suppkey FROM {_numbered(256, ", l_partkey, l_suppkey")}),
 r1 AS (SELECT page_id, x, y, 40 AS width, max(y) OVER (PARTITION BY page_id) + 1 AS height,
@@ -123,6 +125,35 @@ def ctc_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _first(spark, sf_dir).select("vec_id", F.round("confidence", 6).alias("confidence"))
 
 
+@query(f"WITH {DECODED} SELECT vec_id, text, round(confidence, 6) AS confidence FROM dec")
+def ctc_decode_in_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``ctc_decode`` and ``ctc_confidence``, with the best classes found in numpy where the logits are."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            logits = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, 8, 8)
+            steps = decode.best_arrays(*decode.best_kernel(logits), b.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0), steps], names=["vec_id", "steps"])
+
+    lines = fx.logit_lines(spark, sf_dir).select("vec_id", "logits", "valid_steps")
+    told = lines.mapInArrow(run, f"vec_id long, steps {decode.STEPS}").withColumn("scored", F.lit(True))
+    return decode.decode_steps(told, fx.CODEC).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("""SELECT p_brand, p_size AS class, min(p_type) AS char, count(DISTINCT p_type) AS characters FROM part GROUP BY p_brand, p_size""")
+def codec_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = assets.codec_rows(fx.codecs(spark, sf_dir))
+    return rows.groupBy("p_brand", "class").agg(F.min("char").alias("char"), F.count(F.lit(1)).alias("characters"))
+
+
+@query("SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes, sha256(coalesce(text, '')) AS digest FROM documents")
+def embedded_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of assets that came as base64: every document's text, embedded so."""
+    embedded = fx.table(spark, sf_dir, "documents").select("doc_id", F.base64(F.coalesce("text", F.lit("")).cast("binary")).alias("asset"))
+    asset = embedded.select("doc_id", assets.unpacked(F.col("asset")).alias("asset"))
+    return asset.select("doc_id", F.octet_length("asset").cast("long").alias("bytes"), F.sha2("asset", 256).alias("digest"))
+
+
 @query(f"WITH {DECODED} SELECT vec_id, text, CAST(NULL AS DOUBLE) AS confidence FROM dec")
 def decode_class_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = fx.logit_lines(spark, sf_dir)
@@ -182,10 +213,10 @@ def throughput_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {BOXES},
 q AS (SELECT page_id, ord, x0 / 2.0e0 AS x0, y0 / 2.0e0 AS y0, x1 / 2.0e0 AS x1, y1 / 2.0e0 AS y1 FROM boxes),
 p AS (SELECT *, greatest(0, x0 - 10) AS x, greatest(0, y0 - 6) AS y FROM q)
-SELECT page_id, ord, x, y, greatest(1, least(450, x1 + 11) - x) AS width, greatest(1, least(600, y1 + 7) - y) AS height FROM p""")
+SELECT page_id, ord, x, y, greatest(1, least({fx.PAGE_WIDTH // 2}, x1 + 11) - x) AS width, greatest(1, least({fx.PAGE_HEIGHT // 2}, y1 + 7) - y) AS height FROM p""")
 def region_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = crop.rescale(fx.page_boxes(spark, sf_dir), 2.0)
-    return crop.regions(boxes, 450, 600).select("page_id", "ord", "x", "y", "width", "height")
+    return crop.regions(boxes, fx.PAGE_WIDTH // 2, fx.PAGE_HEIGHT // 2).select("page_id", "ord", "x", "y", "width", "height")
 
 
 @query(f"""WITH {BOXES}, p AS (SELECT page_id, max(x1) AS width, max(y1) AS height FROM boxes GROUP BY page_id)
@@ -240,7 +271,7 @@ def batch_plan_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ORDER_SQL = f"""WITH {BOXES},
 c AS (SELECT *, (x0 + x1) / 2.0e0 AS mid FROM boxes),
-side AS (SELECT *, CASE WHEN mid < 900 * 0.48e0 THEN 'l' WHEN mid > 900 * 0.52e0 THEN 'r' ELSE 'm' END AS sd FROM c),
+side AS (SELECT *, CASE WHEN mid < {fx.PAGE_WIDTH} * 0.48e0 THEN 'l' WHEN mid > {fx.PAGE_WIDTH} * 0.52e0 THEN 'r' ELSE 'm' END AS sd FROM c),
 srt AS (SELECT page_id, sd, y0, y1, y1 - y0 AS h, row_number() OVER (PARTITION BY page_id, sd ORDER BY y0, ord) - 1 AS i,
   count(*) OVER (PARTITION BY page_id, sd) AS n, lag(y1) OVER (PARTITION BY page_id, sd ORDER BY y0, ord) AS above FROM side WHERE sd <> 'm'),
 body AS (SELECT page_id, sd, n, list_sort(list(h))[len(list(h)) // 2 + 1] AS bh FROM srt WHERE i < ceil(n * 0.65e0) GROUP BY page_id, sd, n),
@@ -248,12 +279,12 @@ tail AS (SELECT a.page_id, a.sd, a.i, list_sort(list(b.h))[len(list(b.h)) // 2 +
   WHERE a.n >= 8 AND a.i >= ceil(a.n * 0.45e0) AND a.i < a.n - 2 GROUP BY a.page_id, a.sd, a.i),
 ok AS (SELECT srt.page_id, srt.sd, srt.y0, row_number() OVER (PARTITION BY srt.page_id, srt.sd ORDER BY srt.i) AS k
   FROM srt JOIN tail ON srt.page_id = tail.page_id AND srt.sd = tail.sd AND srt.i = tail.i JOIN body ON srt.page_id = body.page_id AND srt.sd = body.sd
-  WHERE srt.y0 > 1200 * 0.55e0 AND srt.y0 - srt.above >= greatest(12, bh * 0.75e0) AND th <= bh * 0.92e0),
+  WHERE srt.y0 > {fx.PAGE_HEIGHT} * 0.55e0 AND srt.y0 - srt.above >= greatest(12, bh * 0.75e0) AND th <= bh * 0.92e0),
 start AS (SELECT page_id, max(CASE WHEN sd = 'l' THEN y0 END) AS fl, max(CASE WHEN sd = 'r' THEN y0 END) AS fr FROM ok WHERE k = 1 GROUP BY page_id),
 page AS (SELECT side.page_id, count(*) AS n, count(*) FILTER (WHERE sd = 'l') AS nl, count(*) FILTER (WHERE sd = 'r') AS nr FROM side GROUP BY side.page_id),
-moves AS (SELECT page.page_id, fl, fr FROM page JOIN start ON page.page_id = start.page_id WHERE n >= 16 AND nl >= 8 AND nr >= 8 AND abs(fl - fr) <= 1200 * 0.08e0),
+moves AS (SELECT page.page_id, fl, fr FROM page JOIN start ON page.page_id = start.page_id WHERE n >= 16 AND nl >= 8 AND nr >= 8 AND abs(fl - fr) <= {fx.PAGE_HEIGHT} * 0.08e0),
 foot AS (SELECT side.*, coalesce((sd = 'l' AND y0 >= fl) OR (sd = 'r' AND y0 >= fr), false) AS f FROM side LEFT JOIN moves ON side.page_id = moves.page_id)
-SELECT page_id, ord, row_number() OVER (PARTITION BY page_id ORDER BY f, CASE WHEN f AND mid > 450 THEN 1 ELSE 0 END, CASE WHEN f THEN y0 ELSE 0 END, CASE WHEN f THEN x0 ELSE 0 END, ord) - 1 AS position FROM foot"""
+SELECT page_id, ord, row_number() OVER (PARTITION BY page_id ORDER BY f, CASE WHEN f AND mid > {fx.PAGE_WIDTH / 2} THEN 1 ELSE 0 END, CASE WHEN f THEN y0 ELSE 0 END, CASE WHEN f THEN x0 ELSE 0 END, ord) - 1 AS position FROM foot"""
 
 
 @query(_ORDER_SQL)
@@ -263,10 +294,11 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {BOXES},
 h AS (SELECT DISTINCT page_id FROM boxes WHERE page_id % 5 = 0),
-lines AS (SELECT * FROM boxes UNION ALL SELECT page_id, -2, 20, 20, 880, 40 FROM h UNION ALL SELECT page_id, -1, 20, 40, 880, 48 FROM h),
+lines AS (SELECT * FROM boxes UNION ALL SELECT page_id, -2, 33, 30 + page_id % 9, {fx.PAGE_WIDTH - 40} + page_id % 7, 51 + page_id % 9 FROM h
+  UNION ALL SELECT page_id, -1, 33, 64 + page_id % 11, {fx.PAGE_WIDTH - 40} + page_id % 7, 69 + page_id % 11 + page_id % 4 FROM h),
 typ AS (SELECT page_id, list_sort(list(y1 - y0))[count(*) // 2 + 1] AS t FROM lines GROUP BY page_id),
 rule AS (SELECT page_id, y0 FROM (SELECT lines.page_id, y0, row_number() OVER (PARTITION BY lines.page_id ORDER BY ord) AS k FROM lines JOIN typ ON lines.page_id = typ.page_id
-  WHERE y0 < 120 AND x1 - x0 > 765 AND y1 - y0 < t * 0.55e0) WHERE k = 1)
+  WHERE y0 < {fx.PAGE_HEIGHT} * 0.1e0 AND x1 - x0 > {fx.PAGE_WIDTH} * 0.85e0 AND y1 - y0 < t * 0.55e0) WHERE k = 1)
 SELECT lines.page_id, lines.ord, lines.y0 FROM lines LEFT JOIN rule ON lines.page_id = rule.page_id WHERE rule.y0 IS NULL OR lines.y0 > rule.y0""")
 def header_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.without_running_header(fx.headed_boxes(spark, sf_dir), fx.PAGE_HEIGHT, fx.PAGE_WIDTH).select("page_id", "ord", "y0")
@@ -404,16 +436,45 @@ def ink_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.ink_box(px, dark, segment.bands(segment.row_profile(px, dark), fx.RASTER_WIDTH))
 
 
-@query(f"""WITH {RASTER},
+TRIM = """
 t AS (SELECT page_id, max(width) * 8 AS w, max(height) * 8 AS h, min(x) FILTER (WHERE r + g + b < 720) AS lx, max(x) FILTER (WHERE r + g + b < 720) AS hx,
   min(y) FILTER (WHERE r + g + b < 720) AS ly, max(y) FILTER (WHERE r + g + b < 720) AS hy FROM px GROUP BY page_id),
 e AS (SELECT *, greatest(0, lx * 8 - 48) AS x0, greatest(0, ly * 8 - 48) AS y0, least(w, (hx + 1) * 8 + 48) AS x1, least(h, (hy + 1) * 8 + 48) AS y1 FROM t),
-u AS (SELECT *, coalesce(x1 > x0 AND y1 > y0 AND (x1 - x0) * (y1 - y0) < w * h * 0.95e0, false) AS use FROM e)
-SELECT page_id, CASE WHEN use THEN x0 ELSE 0 END AS x0, CASE WHEN use THEN y0 ELSE 0 END AS y0, CASE WHEN use THEN x1 ELSE w END AS x1, CASE WHEN use THEN y1 ELSE h END AS y1 FROM u""")
+u AS (SELECT *, coalesce(hx > lx AND hy > ly AND (x1 - x0) * (y1 - y0) < w * h * 0.95e0, false) AS use FROM e),
+trimmed AS (SELECT page_id, w, h, CASE WHEN use THEN x0 ELSE 0 END AS x0, CASE WHEN use THEN y0 ELSE 0 END AS y0, CASE WHEN use THEN x1 ELSE w END AS x1, CASE WHEN use THEN y1 ELSE h END AS y1 FROM u)"""
+
+
+@query(f"WITH {RASTER}, {TRIM} SELECT page_id, x0, y0, x1, y1 FROM trimmed")
 def trim_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.trim_box(fx.page_raster(spark, sf_dir))
 
 
+#: What remains of a raster whose outer thirds are blank: pages that trimming pays for.
+INSET = "inset AS (SELECT page_id, x, y, width, height, CASE WHEN x BETWEEN 13 AND 26 THEN r ELSE 255 END AS r, CASE WHEN x BETWEEN 13 AND 26 THEN g ELSE 255 END AS g, CASE WHEN x BETWEEN 13 AND 26 THEN b ELSE 255 END AS b FROM px)"
+
+
+@query(f"""WITH {RASTER}, {INSET}, {TRIM.replace("FROM px", "FROM inset")}, {BOXES},
+f AS (SELECT boxes.page_id AS part, ord, trimmed.page_id, w, h, boxes.x0 / 2.0e0 + trimmed.x0 AS x0, boxes.y0 / 2.0e0 + trimmed.y0 AS y0, boxes.x1 / 2.0e0 + trimmed.x0 AS x1, boxes.y1 / 2.0e0 + trimmed.y0 AS y1
+  FROM boxes JOIN trimmed ON boxes.page_id // 32 = trimmed.page_id),
+p AS (SELECT *, greatest(0, x0 - 10) AS x, greatest(0, y0 - 6) AS y FROM f)
+SELECT page_id, part, ord, x, y, greatest(1, least(w, x1 + 11) - x) AS width, greatest(1, least(h, y1 + 7) - y) AS height FROM p""")
+def trimmed_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes found on the trimmed parts of pages at twice their size, as regions of the whole pages."""
+    inside = F.col("x").between(13, 26)
+    px = fx.page_raster(spark, sf_dir).withColumns({c: F.when(inside, F.col(c)).otherwise(255) for c in ("r", "g", "b")})
+    size = px.groupBy("page_id").agg((F.max("width") * segment.TRIM_FACTOR).alias("w"), (F.max("height") * segment.TRIM_FACTOR).alias("h"))
+    boxes = fx.page_boxes(spark, sf_dir).withColumn("part", F.col("page_id")).withColumn("page_id", F.floor(F.col("page_id") / 32))
+    placed = crop.from_trimmed(boxes, segment.trim_box(px), 2.0).join(size, "page_id")
+    return crop.regions(placed, F.col("w"), F.col("h")).select("page_id", "part", "ord", "x", "y", "width", "height")
+
+
+@query(f"""WITH k AS (SELECT page_id, l_orderkey, s, l_partkey FROM {_numbered(8, ", l_orderkey, l_partkey")} WHERE l_orderkey % 16 BETWEEN 1 AND 8)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY l_orderkey, s) - 1 AS ord, CAST(l_partkey % 50 AS INTEGER) AS x0, CAST(20 * s AS INTEGER) AS y0,
+  CAST(l_partkey % 50 + 300 AS INTEGER) AS x1, CAST(20 * s + 15 AS INTEGER) AS y1 FROM k""")
+def block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crop.text_lines(fx.layout_blocks(spark, sf_dir))
+
+
 def raster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixture's pages as rows of one raster each, missing pixels white, enlarged twice."""
     px = fx.page_raster(spark, sf_dir)
@@ -437,7 +498,7 @@ def raster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fast_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognise.prepare(raster_pages(spark, sf_dir), Options()).drop("rgb", "error")
+    return recognise.prepare(raster_pages(spark, sf_dir), Options()).drop("rgb", "error", "transform")
 
 
 @query()

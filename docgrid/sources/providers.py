@@ -15,7 +15,7 @@ class Recogniser(Protocol):
 
 class LayoutProvider(Protocol):
     def __call__(self, rgb: np.ndarray, dpi: int, psm: int, binary_threshold: int) -> np.ndarray:
-        """int32 [n, 4] text-line boxes (x0, y0, x1, y1) in natural order."""
+        """int32 [n, 4] text-line boxes (x0, y0, x1, y1) in natural order, or [n, 5] with the type of the line's block."""
 
 
 class Rasteriser(Protocol):
