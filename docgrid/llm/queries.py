@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrid.llm import block_names, chunked_bpe, filter_audit, html_blocks, licences, lm, periodic_runs, positional_index, repeats, scratch, simhash, subword_quality, toxicity, warc
+from docgrid.llm import block_names, chunked_bpe, filter_audit, html_blocks, licences, lm, oracles, periodic_runs, positional_index, repeats, scratch, simhash, subword_quality, toxicity, warc
 from docgrid.llm.text import crc32_mod
 
 #: Where the public tokenizer files are; a parameter, they are not part of the repository.
@@ -117,6 +117,9 @@ _TEMPLATES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for
 _PAIRS = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_periodic_runs": oracles.PERIODIC_RUNS,
+    "op12_filter_audit": oracles.FILTER_AUDIT,
+    "op13_repeats": oracles.REPEATS,
     "op1_warc": """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages),
 s AS (SELECT *, octet_length(encode(html)) AS n FROM p),
