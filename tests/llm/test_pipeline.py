@@ -7,7 +7,8 @@ import random
 import corpus_pipeline
 import pytest
 from data import words
-from test_dedup import brute_components, fingerprint, lower
+from test_dedup import lower
+from test_near_sets import brute_groups
 from test_text_ops import brute_contamination, needs_tokenizer
 
 from docgrid.llm import subword_quality
@@ -38,8 +39,10 @@ def test_pipeline(spark, sf_dir):
     last = {lower(t): i for i, t in sorted(left.items())}
     left = {i: left[i] for i in last.values()}
     ids = sorted(left)
-    groups = brute_components(ids, [fingerprint(left[i]) for i in ids], 4)
-    left = {i: left[i] for i, g in zip(ids, groups) if i == g}
+    groups: dict = {}
+    for i, g in zip(ids, brute_groups([left[i] for i in ids])):
+        groups.setdefault(g, []).append(i)
+    left = {min(g): left[min(g)] for g in groups.values()}
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     left = {i: t for i, t in left.items() if not brute_contamination(t, items)[-1]}
     got = corpus_pipeline.run(spark, sf_dir).collect()
