@@ -94,6 +94,63 @@ TEMPLATES += [
     ),
 ]
 
+# Families of licences that differ in a version or in elements alone have templates for each of these, so
+# that the nearest template of a notice is that of its own version and elements (fixed values).
+_GNU = {"": ("GPL", ("1", "2", "3")), "Lesser ": ("LGPL", ("2.1", "3")), "Library ": ("LGPL", ("2",)), "Affero ": ("AGPL", ("1", "3"))}
+_CC = {"": "", "SA": "-ShareAlike", "NC": "-NonCommercial", "ND": "-NoDerivatives", "NC-SA": "-NonCommercial-ShareAlike", "NC-ND": "-NonCommercial-NoDerivatives"}
+_CC_VERSIONS = {"2.0": " Generic", "2.5": " Generic", "3.0": " Unported", "4.0": " International"}
+_VERSIONED = {"Apache": ("Apache License", ("1.1", "2.0")), "MPL": ("Mozilla Public License", ("1.1", "2.0")), "EPL": ("Eclipse Public License", ("1.0", "2.0")), "BSL": ("Boost Software License", ("1.0",))}
+
+
+def _families() -> Iterator[tuple[str, str]]:
+    for kind, (short, versions) in _GNU.items():
+        for v in versions:
+            name = f"{short}-{v if '.' in v else v + '.0'}"
+            yield name, f"This work is licensed under the GNU {kind}General Public License, version {v}."
+            yield name, f"Licensed under the GNU {kind}General Public License v{v if '.' in v else v + '.0'}."
+            yield name, (
+                f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by "
+                f"the Free Software Foundation, either version {v} of the License, or (at your option) any later version."
+            )
+    for elements, words in _CC.items():
+        for v, place in _CC_VERSIONS.items():
+            short = f"BY-{elements}" if elements else "BY"
+            yield f"CC-{short}-{v}", f"Licensed under CC {short} {v}."
+            yield f"CC-{short}-{v}", f"This work is licensed under a Creative Commons Attribution{words} {v}{place} License."
+    for short, (long, versions) in _VERSIONED.items():
+        for v in versions:
+            yield f"{short}-{v}", f"Licensed under the {long}, Version {v}."
+            yield f"{short}-{v}", f"This project is licensed under the {long}, Version {v}."
+
+
+#: Bodies of short licences, as they are published (fixed values).
+_CONDITIONS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_TWO = (
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+    "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, "
+    "STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+TEMPLATES += [
+    ("BSD-2-Clause", f"{_CONDITIONS} {_TWO} {_DISCLAIMER}"),
+    ("BSD-3-Clause", f"{_CONDITIONS} {_TWO} {_THIRD} {_DISCLAIMER}"),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product "
+        "documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution.",
+    ),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+]
+TEMPLATES += [x for x in dict.fromkeys(_families()) if x not in TEMPLATES]
+
 _WORD = re.compile(rb"[a-z0-9]+")
 
 

@@ -8,7 +8,10 @@ Payloads that were written before become ``revisit`` records without a body.
 Reading: ``spark.read.format("warc")`` plans whole files into partitions of
 bounded size. Filters on the record type and the other header columns are pushed
 down; headers are parsed first, and the payload of a record that fails them (or
-any payload, with ``payload=false``) is skipped by seeking, never decoded.
+any payload, with ``payload=false``) is skipped by seeking, never decoded. An archive
+that ends early, or whose records don't tell their length, is an error whether or not
+the filters want the record in question. A file is one task's: its records can't be
+told from copies of records in payloads other than from its start.
 """
 
 from __future__ import annotations
@@ -105,46 +108,57 @@ class _Input:
     def __init__(self, store, path: str):  # noqa: ANN001
         packed = path.endswith(".gz")
         self.file = store.open_input_stream(path, compression="gzip") if packed else store.open_input_file(path)
-        self.can_seek, self.held = not packed, b""
+        self.path, self.size = path, None if packed else self.file.size()
+        self.held, self.at = b"", 0
 
     def more(self) -> bool:
         got = self.file.read(READ_BYTES)
-        self.held += got
+        self.held, self.at = self.held[self.at :] + got, 0
         return bool(got)
 
     def until(self, mark: bytes) -> bytes | None:
         """What stands before ``mark``, which is passed over too; None at the end of the file."""
-        start = 0
-        while (i := self.held.find(mark, start)) < 0:
-            start = max(0, len(self.held) - len(mark) + 1)
+        seen = 0
+        while (i := self.held.find(mark, self.at + seen)) < 0:
+            seen = max(0, len(self.held) - self.at - len(mark) + 1)
             if not self.more():
-                if self.held.strip():
-                    raise ValueError("an archive ends inside a record's header")
+                if self.held[self.at :].strip():
+                    raise ValueError(f"an archive ends inside a record's header: {self.path}")
                 return None
-        out, self.held = self.held[:i], self.held[i + len(mark) :]
+        out, self.at = self.held[self.at : i], i + len(mark)
         return out
 
     def take(self, n: int) -> bytes:
-        if n > len(self.held):
-            parts, n_left = [self.held], n - len(self.held)
-            self.held = b""
-            while n_left and (got := self.file.read(n_left)):
-                parts.append(got)
-                n_left -= len(got)
-            if n_left:
-                raise ValueError(f"an archive ends {n_left} bytes before its last record does")
-            return b"".join(parts)
-        out, self.held = self.held[:n], self.held[n:]
-        return out
+        end = self.at + n
+        if end <= len(self.held):
+            out, self.at = self.held[self.at : end], end
+            return out
+        parts = [self.held[self.at :]]
+        left = n - len(parts[0])
+        self.held, self.at = b"", 0
+        while left and (got := self.file.read(left)):
+            parts.append(got)
+            left -= len(got)
+        if left:
+            raise ValueError(f"an archive ends {left} bytes before its last record does: {self.path}")
+        return b"".join(parts)
 
     def skip(self, n: int) -> None:
-        if n <= len(self.held):
-            self.held = self.held[n:]
-        elif self.can_seek:
-            self.file.seek(self.file.tell() + n - len(self.held))
-            self.held = b""
-        else:
-            self.take(n)
+        """Pass over ``n`` bytes, which must be there, though they aren't read where a file can be sought in."""
+        if self.at + n <= len(self.held):
+            self.at += n
+            return
+        if self.size is not None:
+            to = self.file.tell() + n - (len(self.held) - self.at)
+            if to > self.size:
+                raise ValueError(f"an archive ends {to - self.size} bytes before its last record does: {self.path}")
+            self.file.seek(to)
+            self.held, self.at = b"", 0
+            return
+        while n:  # a packed stream is read through in pieces
+            part = min(n, READ_BYTES)
+            self.take(part)
+            n -= part
 
 
 def parse_header(block: bytes) -> dict[str, str]:
@@ -166,16 +180,19 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() != "false"
         self.wanted: list[tuple[str, frozenset[str]]] = []
+        self.present: list[str] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
-        """Take equality and membership tests on header columns; give back the rest."""
+        """Take tests of header columns for equality, membership and presence; give back the rest."""
         for f in filters:
             column = f.attribute[0] if getattr(f, "attribute", ()) else ""
             if isinstance(f, EqualTo) and column in HEADERS:
                 self.wanted.append((HEADERS[column].lower(), frozenset([f.value])))
             elif isinstance(f, In) and column in HEADERS:
                 self.wanted.append((HEADERS[column].lower(), frozenset(f.value)))
-            elif not (isinstance(f, IsNotNull) and column == "record_type"):
+            elif isinstance(f, IsNotNull) and column in HEADERS:
+                self.present.append(HEADERS[column].lower())
+            else:
                 yield f
 
     def partitions(self) -> Sequence[InputPartition]:
@@ -203,8 +220,8 @@ class WarcReader(DataSourceReader):
             source = _Input(store, path)
             while (block := source.until(b"\r\n\r\n")) is not None:
                 head = parse_header(block)
-                length = int(head.get("content-length", 0))
-                if all(head.get(name) in values for name, values in self.wanted):
+                length = _length(head, path)
+                if all(head.get(name) in values for name, values in self.wanted) and all(name in head for name in self.present):
                     body = None
                     if self.payload and head.get("warc-type") != "revisit":
                         body = source.take(length)
@@ -222,6 +239,14 @@ class WarcReader(DataSourceReader):
             yield _batch(rows)
 
 
+def _length(head: dict[str, str], path: str) -> int:
+    """Content-Length of a record; without a whole number there the records behind can't be found."""
+    told = head.get("content-length", "")
+    if not (told.isascii() and told.isdigit()):
+        raise ValueError(f"{path} has a record ({head.get('warc-record-id', 'without an id')}) whose Content-Length is {told!r}")
+    return int(told)
+
+
 def _batch(rows: list[tuple[dict[str, str], int, bytes | None]]) -> pa.RecordBatch:
     cols = [pa.array([h.get(n.lower()) for h, _, _ in rows], pa.string()) for n in HEADERS.values()]
     cols += [pa.array([n for _, n, _ in rows], pa.int64()), pa.array([b for _, _, b in rows], pa.binary())]
@@ -243,7 +268,10 @@ class WarcSource(DataSource):
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records of the archives in ``path``; filters on header columns reach the reader."""
+    """Records of the archives in ``path``; filters on header columns reach the reader.
+
+    Registers the source and turns on the session's filter pushdown for Python sources.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)

@@ -416,3 +416,67 @@ def test_warc_truncated_and_packed(tmp_path):
         with pytest.raises(ValueError, match="archive ends"):
             for part in reader.partitions():
                 list(reader.read(part))
+
+
+NOTICES = {
+    "This work is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+    "This work is licensed under the GNU General Public License, version 1.": "GPL-1.0",
+    "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA-4.0",
+    "This work is licensed under a Creative Commons Attribution 3.0 Unported License.": "CC-BY-3.0",
+    "Licensed under the Eclipse Public License, Version 2.0.": "EPL-2.0",
+    "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)": "BSL-1.0",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, "
+    "either version 3 of the License, or (at your option) any later version.": "LGPL-3.0",
+}
+
+
+def test_notices_of_every_version(spark):
+    rows = [(i, text) for i, text in enumerate(NOTICES)]
+    rows += [(100, f"Copyright 2020 A. Body. {licences._CONDITIONS} {licences._TWO} {licences._DISCLAIMER}"), (101, f"Hi. {licences._CONDITIONS} {licences._TWO} {licences._THIRD} {licences._DISCLAIMER}")]
+    got = {r["doc_id"]: r["licence"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(NOTICES.values())) | {100: "BSD-2-Clause", 101: "BSD-3-Clause"}
+
+
+def test_licences_of_awkward_tables(spark, docs):
+    assert licences.scan(docs).count() == docs.count()
+    assert licences.scan(docs.limit(0)).count() == 0
+
+
+def archive(tmp_path, *heads, body=b"x" * 20, tail=b""):
+    (tmp_path / "a.warc").write_bytes(b"".join(b"WARC/1.1\r\n" + h + b"\r\n\r\n" + body + b"\r\n\r\n" for h in heads) + tail)
+    return str(tmp_path)
+
+
+def test_warc_presence_is_tested(spark, tmp_path):
+    path = archive(tmp_path, b"WARC-Type: response\r\nContent-Length: 20", b"WARC-Record-ID: <u>\r\nContent-Length: 20", b"WARC-Type: revisit\r\nContent-Length: 20")
+    got = warc.read(spark, f"file://{path}")
+    assert got.where("record_type is not null").count() == 2 and got.where("record_type is null").count() == 1
+    assert got.where("record_id is not null").select("record_type").collect()[0][0] is None
+    assert got.where("record_type = 'response'").count() == 1
+
+
+@pytest.mark.parametrize("wanted", [[], [("warc-type", frozenset(["other"]))]])
+def test_warc_that_ends_early_is_an_error_behind_filters(tmp_path, wanted):
+    good = b"WARC-Type: response\r\nContent-Length: 20"
+    for heads, tail, message in (([good], b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 20\r\n\r\nshort", "ends"), ([good, b"WARC-Type: response"], b"", "Content-Length"), ([good, b"Content-Length: -4"], b"", "Content-Length")):
+        reader = warc.WarcReader({"path": archive(tmp_path, *heads, tail=tail)})
+        reader.wanted = wanted
+        with pytest.raises(ValueError, match=message):
+            [list(reader.read(p)) for p in reader.partitions()]
+
+
+def test_warc_of_many_small_records_and_long_ones(spark, tmp_path):
+    import time
+
+    heads = [b"WARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: 20" % i for i in range(100_000)]
+    reader = warc.WarcReader({"path": archive(tmp_path, *heads)})
+    began = time.perf_counter()
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == len(heads)
+    assert time.perf_counter() - began < 10  # seconds where the buffer is copied for every record it is over a minute
+    long = "z" * (3 * warc.READ_BYTES + 7)
+    rows = spark.createDataFrame([(1, "u", long), (2, "u", long), (3, None, long + "y"), (None, "u", None)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(rows).collect()}
+    assert got == {1: (len(long), "response", None), 2: (len(long), "revisit", 1), 3: (len(long) + 1, "response", None), None: (0, "response", None)}
+    clash = rows.limit(0).withColumn("record_type", rows.url).withColumn("payload", rows.url)
+    assert warc.round_trip(clash).count() == 0
