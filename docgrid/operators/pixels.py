@@ -6,10 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgrid.operators.stats import histogram, otsu, with_gray
+from docgrid.operators.stats import DARK_HIGH, FLAT, HIGH_SHARE, LOW_SHARE, histogram, otsu, with_gray
 
+# Fixed values of the local threshold: half the side of its box, how far the spread moves it, and the spread that doesn't.
 RADIUS = 12
 BIAS = 0.2
+SPREAD = 128.0
 
 
 def sauvola(pixels: DataFrame, key: str = "page_id") -> DataFrame:
@@ -25,7 +27,7 @@ def sauvola(pixels: DataFrame, key: str = "page_id") -> DataFrame:
     box = rows.withColumns({c: F.sum(c).over(down) for c in ("s1", "s2", "s0")})
     mean = F.col("s1") / F.col("s0")
     box = box.withColumn("mean", mean).withColumn("var", F.greatest(F.lit(0.0), F.col("s2") / F.col("s0") - F.col("mean") * F.col("mean")))
-    limit = F.col("mean") * (F.lit(1.0) + F.lit(BIAS) * (F.sqrt("var") / F.lit(128.0) - F.lit(1.0)))
+    limit = F.col("mean") * (F.lit(1.0) + F.lit(BIAS) * (F.sqrt("var") / F.lit(SPREAD) - F.lit(1.0)))
     return box.withColumn("ink", (F.col("gray") <= limit).cast("int")).drop("s0", "s1", "s2", "mean", "var")
 
 
@@ -66,34 +68,39 @@ def percentile_kernel(grays: np.ndarray, fraction: float) -> int:
     return int(at[0]) if len(at) else 255
 
 
-def sauvola_kernel(grays: np.ndarray) -> np.ndarray:
+def sauvola_kernel(grays: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    """Ink flags by box sums from integral images; pixels that aren't ``known`` count in no box."""
     h, w = grays.shape
-    table = np.zeros((2, h + 1, w + 1))
-    table[0, 1:, 1:] = grays.cumsum(0).cumsum(1)
-    table[1, 1:, 1:] = (grays * grays).cumsum(0).cumsum(1)
+    there = np.ones((h, w), np.int64) if known is None else known.astype(np.int64)
+    values = grays * there
+    table = np.zeros((3, h + 1, w + 1), np.int64)
+    for t, v in zip(table, (values, values * values, there)):
+        t[1:, 1:] = v.cumsum(0).cumsum(1)
     y, x = np.arange(h), np.arange(w)
     top, bottom = np.maximum(y - RADIUS, 0), np.minimum(y + RADIUS + 1, h)
     left, right = np.maximum(x - RADIUS, 0), np.minimum(x + RADIUS + 1, w)
-    count = np.outer(bottom - top, right - left)
-    s, q = (t[bottom][:, right] - t[top][:, right] - t[bottom][:, left] + t[top][:, left] for t in table)
+    s, q, count = (t[bottom][:, right] - t[top][:, right] - t[bottom][:, left] + t[top][:, left] for t in table)
+    count = np.maximum(count, 1)
     mean = s / count
     spread = np.sqrt(np.maximum(0, q / count - mean * mean))
-    return (grays <= mean * (1 + BIAS * (spread / 128 - 1))).astype(np.float32)
+    return (grays <= mean * (1 + BIAS * (spread / SPREAD - 1))).astype(np.float32)
 
 
-def closing_kernel(inked: np.ndarray) -> np.ndarray:
-    out = np.pad(inked, ((0, 0), (1, 1)))
-    out = np.maximum(np.maximum(out[:, :-2], out[:, 1:-1]), out[:, 2:])
-    out = np.pad(out, ((0, 0), (1, 1)), constant_values=1)
-    return np.minimum(np.minimum(out[:, :-2], out[:, 1:-1]), out[:, 2:])
+def closing_kernel(inked: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    """Ink spread to both neighbours of a row, then drawn back; pixels that aren't ``known`` neither spread nor draw."""
+    beside = lambda v, edge, f: f(f(p[:, :-2], p[:, 1:-1]), p[:, 2:]) if (p := np.pad(v, ((0, 0), (1, 1)), constant_values=edge)).size else v
+    out = beside(inked, 0, np.maximum)
+    if known is not None:
+        out = np.where(known, out, 1)
+    return beside(out, 1, np.minimum)
 
 
 def preprocess(rgb: np.ndarray, mode: str = "none") -> np.ndarray:
     """Darkness (none) or ink flags of a line's raster, as float32."""
     grays = gray_kernel(rgb)
     if mode == "auto":
-        low, high = percentile_kernel(grays, 0.05), percentile_kernel(grays, 0.9)
-        mode = "sauvola" if high < 225 else "otsu" if high - low < 105 else "none"
+        low, high = percentile_kernel(grays, LOW_SHARE), percentile_kernel(grays, HIGH_SHARE)
+        mode = "sauvola" if high < DARK_HIGH else "otsu" if high - low < FLAT else "none"
     if mode == "sauvola":
         return sauvola_kernel(grays)
     if mode == "none":

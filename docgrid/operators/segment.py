@@ -11,6 +11,16 @@ from docgrid.operators.pixels import gray_kernel, otsu_kernel
 
 #: Pixels darker than this count for rules, whatever the page's threshold.
 RULE_DARK = 160
+# Fixed values of the segmentation. A page's threshold is measured on every SAMPLE-th pixel, NO_DARK where it is too low.
+# Bands: a row's share of the width at the two thresholds, their least, the rows of a band, what counts as typical and
+# what is tall. Rules: the columns looked at and the share of the height that a rule has. Gutters: the dark pixels of an
+# active row, the columns looked at, the share of rows that may be dark, the least share of the width. Headers: how low they
+# begin, the share of the width and of the typical height of a rule.
+SAMPLE, NO_DARK = 4, 210
+BAND_LOW, BAND_HIGH, LEAST_INK, LEAST_BAND, LARGE_BAND, USUAL_BAND, TALL = 200, 60, 4.0, 4, 100, 40, 1.65
+RULE_FROM, RULE_TO, RULE_SHARE = 0.55, 0.9, 0.18
+ACTIVE, MIDDLE, FEW, GUTTER = 4, (0.25, 0.75), 80, 0.015
+HEADER_TOP, HEADER_WIDTH, HEADER_TALL = 0.1, 0.85, 0.55
 #: Trimming (fixed values): how far a page is reduced, the sum of r, g and b from which a pixel is
 #: white, the margin around what isn't, and the share of the page from which it isn't worth it.
 TRIM_FACTOR = 8
@@ -35,19 +45,19 @@ def runs(rows: DataFrame, at: str, keys: list[str]) -> DataFrame:
     return rows.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min(at).alias("start"), (F.max(at) + 1).alias("end")).drop("_island")
 
 
-def bands(profile: DataFrame, width: float, key: str = "page_id", least: int = 4) -> DataFrame:
+def bands(profile: DataFrame, width: float, key: str = "page_id", least: int = LEAST_BAND) -> DataFrame:
     """(key, start, end): rows of text.
 
     Runs of at least ``least`` rows at the low threshold; runs over 1.65 times the
     typical height are cut again at the high one, and may leave none.
     """
-    low, high = max(4.0, width / 200), max(4.0, width / 60)
+    low, high = max(LEAST_INK, width / BAND_LOW), max(LEAST_INK, width / BAND_HIGH)
     inked = profile.where(F.col("ink") >= low)
     inked = inked.withColumn("island", F.col("y") - F.row_number().over(Window.partitionBy(key).orderBy("y")))
     size = F.col("end") - F.col("start")
     first = inked.groupBy(key, "island").agg(F.min("y").alias("start"), (F.max("y") + 1).alias("end")).where(size >= least)
-    typical = F.coalesce(F.nullif(upper_median(F.filter(F.collect_list(size).over(Window.partitionBy(key)), lambda s: s < 100)), F.lit(0)), F.lit(40))
-    first = first.withColumn("tall", size > typical * F.lit(1.65))
+    typical = F.coalesce(F.nullif(upper_median(F.filter(F.collect_list(size).over(Window.partitionBy(key)), lambda s: s < LARGE_BAND)), F.lit(0)), F.lit(USUAL_BAND))
+    first = first.withColumn("tall", size > typical * F.lit(TALL))
     again = inked.where(F.col("ink") >= high).join(first.where("tall").select(key, "island"), [key, "island"])
     again = runs(again, "y", [key, "island"]).where(size >= least)
     return first.where("not tall").select(key, "start", "end").union(again.select(key, "start", "end"))
@@ -58,8 +68,8 @@ def rule_column(pixels: DataFrame, key: str = "page_id") -> DataFrame:
 
     Every second column and row is looked at; without ink x and ink are 0.
     """
-    first = F.floor(F.col("width") * F.lit(0.55))
-    seen = pixels.where((F.col("x") >= first) & (F.col("x") < F.col("width") * F.lit(0.9)) & (F.pmod(F.col("x") - first, F.lit(2)) == 0) & (F.col("y") % 2 == 0))
+    first = F.floor(F.col("width") * F.lit(RULE_FROM))
+    seen = pixels.where((F.col("x") >= first) & (F.col("x") < F.col("width") * F.lit(RULE_TO)) & (F.pmod(F.col("x") - first, F.lit(2)) == 0) & (F.col("y") % 2 == 0))
     ink = seen.groupBy(key, "x").agg(F.count_if(_is_dark(RULE_DARK)).alias("ink")).where("ink > 0")
     best = ink.groupBy(key).agg(F.max_by("x", F.struct("ink", -F.col("x"))).alias("x"), F.max("ink").alias("ink"))
     return pixels.select(key).distinct().join(best, key, "left").select(key, F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("ink", F.lit(0)).alias("ink"))
@@ -75,7 +85,7 @@ def rule_extent(pixels: DataFrame, rule: DataFrame, key: str = "page_id") -> Dat
 def active_rows(pixels: DataFrame, dark: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, top, bottom): first and last even row with four dark pixels at every fourth x; both the last even row without any."""
     rows = pixels.join(dark, key).where("y % 2 = 0").groupBy(key, "y").agg(F.count_if((F.col("x") % 4 == 0) & _is_dark(F.col("dark"))).alias("ink"), F.max("height").alias("height"))
-    last, hit = F.floor((F.max("height") - 1) / 2) * 2, F.when(F.col("ink") >= 4, F.col("y"))
+    last, hit = F.floor((F.max("height") - 1) / 2) * 2, F.when(F.col("ink") >= ACTIVE, F.col("y"))
     return rows.groupBy(key).agg(F.coalesce(F.min(hit), last).cast("int").alias("top"), F.coalesce(F.max(hit), last).cast("int").alias("bottom"))
 
 
@@ -85,15 +95,15 @@ def gutter(pixels: DataFrame, dark: DataFrame, key: str = "page_id") -> DataFram
     ``split`` is null where the run is under 1.5 % of the width. A run that
     reaches the last column looked at ends there.
     """
-    low, high = F.floor(F.col("width") * F.lit(0.25)), F.floor(F.col("width") * F.lit(0.75))
+    low, high = (F.floor(F.col("width") * F.lit(share)) for share in MIDDLE)
     seen = pixels.join(dark, key).join(active_rows(pixels, dark, key), key).where(F.col("x").between(low, high))
     counted = (F.col("y") >= F.col("top")) & (F.col("y") <= F.col("bottom")) & (F.pmod(F.col("y") - F.col("top"), F.lit(4)) == 0)
     cols = seen.groupBy(key, "x").agg(F.count_if(counted & _is_dark(F.col("dark"))).alias("ink"), F.max("top").alias("top"), F.max("bottom").alias("bottom"), F.max("width").alias("width"))
-    blank = cols.where(F.col("ink") <= (F.col("bottom") - F.col("top") + 1) / F.lit(80.0))
+    blank = cols.where(F.col("ink") <= (F.col("bottom") - F.col("top") + 1) / F.lit(float(FEW)))
     found = runs(blank, "x", [key]).join(cols.groupBy(key).agg(F.max("width").alias("width")), key)
     found = found.withColumn("end", F.least(F.col("end"), high)).where("end > start")
     best = found.groupBy(key).agg(F.max_by(F.struct("start", "end"), F.struct(F.col("end") - F.col("start"), -F.col("start"))).alias("b"), F.max("width").alias("width"))
-    wide = (F.col("b.end") - F.col("b.start")) >= F.col("width") * F.lit(0.015)
+    wide = (F.col("b.end") - F.col("b.start")) >= F.col("width") * F.lit(GUTTER)
     best = best.select(key, "b.start", "b.end", F.when(wide, half_up((F.col("b.start") + F.col("b.end")) / 2)).alias("split"))
     return pixels.select(key).distinct().join(best, key, "left").select(key, F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("end", F.lit(0)).alias("end"), "split")
 
@@ -139,7 +149,7 @@ def without_running_header(lines: DataFrame, height: int, width: int, key: str =
     tall = F.col("y1") - F.col("y0")
     typical = F.coalesce(F.nullif(upper_median(F.collect_list(tall).over(page)), F.lit(0)), F.lit(1))
     told = lines.withColumn("_typical", typical)
-    rule = (F.col("y0") < height * 0.1) & (F.col("x1") - F.col("x0") > width * 0.85) & (tall < F.col("_typical") * F.lit(0.55))
+    rule = (F.col("y0") < height * HEADER_TOP) & (F.col("x1") - F.col("x0") > width * HEADER_WIDTH) & (tall < F.col("_typical") * F.lit(HEADER_TALL))
     told = told.withColumn("_rule", F.min_by(F.when(rule, F.col("y0")), F.when(rule, F.col("ord"))).over(page))
     return told.where("_rule is null or y0 > _rule").drop("_typical", "_rule")
 
@@ -147,9 +157,10 @@ def without_running_header(lines: DataFrame, height: int, width: int, key: str =
 # -- numpy kernels over one raster ---------------------------------------------------------------
 
 
-def page_dark(rgb: np.ndarray) -> int:
-    t = otsu_kernel(gray_kernel(rgb).ravel()[::4], default=0, floor=0.0)
-    return t if t > 160 else 210
+def page_dark(rgb: np.ndarray, known: np.ndarray | None = None) -> int:
+    grays = gray_kernel(rgb).ravel()[::SAMPLE]
+    t = otsu_kernel(grays if known is None else grays[known.ravel()[::SAMPLE]], default=0, floor=0.0)
+    return t if t > RULE_DARK else NO_DARK
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -163,13 +174,13 @@ def zone_lines(dark: np.ndarray, x0: int, y0: int, width: int, height: int) -> l
     if not zone.size:
         return []
     ink = zone.sum(axis=1)
-    low, high = max(4.0, width / 200), max(4.0, width / 60)
-    cut = [b for b in _runs(ink >= low) if b[1] - b[0] >= 4]
-    sizes = sorted(b - a for a, b in cut if b - a < 100)
-    typical = (sizes[len(sizes) // 2] if sizes else 0) or 40
+    low, high = max(LEAST_INK, width / BAND_LOW), max(LEAST_INK, width / BAND_HIGH)
+    cut = [b for b in _runs(ink >= low) if b[1] - b[0] >= LEAST_BAND]
+    sizes = sorted(b - a for a, b in cut if b - a < LARGE_BAND)
+    typical = (sizes[len(sizes) // 2] if sizes else 0) or USUAL_BAND
     out = []
     for a, b in cut:
-        parts = [(a + s, a + e) for s, e in _runs(ink[a:b] >= high) if e - s >= 4] if b - a > typical * 1.65 else [(a, b)]
+        parts = [(a + s, a + e) for s, e in _runs(ink[a:b] >= high) if e - s >= LEAST_BAND] if b - a > typical * TALL else [(a, b)]
         for s, e in parts:
             hit = np.flatnonzero(zone[max(0, s - 6) : min(height, e + 6)].any(axis=0)) * 2
             left, right = (max(0, int(hit[0]) - 12), min(width, int(hit[-1]) + 14)) if len(hit) else (max(0, width - 12), min(width, 14))
@@ -177,38 +188,53 @@ def zone_lines(dark: np.ndarray, x0: int, y0: int, width: int, height: int) -> l
     return out
 
 
+def gutter_kernel(dark: np.ndarray, known: np.ndarray | None = None) -> tuple[int, int, int, int, int | None]:
+    """top, bottom, start, end and split of a page's dark mask, as ``active_rows`` and ``gutter`` tell them.
+
+    ``known``: the columns that have pixels, where some have none.
+    """
+    h, w = dark.shape
+    active = np.flatnonzero(dark[::2, ::4].sum(axis=1) >= ACTIVE) * 2
+    last = (h - 1) // 2 * 2
+    top, bottom = (int(active[0]), int(active[-1])) if len(active) else (last, last)
+    low, high = (int(w * share) for share in MIDDLE)
+    blank = dark[top : bottom + 1 : 4, low : high + 1].sum(axis=0) <= (bottom - top + 1) / FEW
+    if known is not None:
+        blank &= known[low : high + 1]
+    edge = np.array(_runs(blank), np.int64).reshape(-1, 2) + low
+    size = np.minimum(edge[:, 1], high) - edge[:, 0]
+    if not len(size) or size.max() <= 0:
+        return top, bottom, 0, 0, None
+    start = int(edge[size.argmax(), 0])
+    end = start + int(size.max())
+    return top, bottom, start, end, int(np.floor((start + end) / 2 + 0.5)) if end - start >= w * GUTTER else None
+
+
 def page_lines(rgb: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Lines of a page: four zones around a vertical rule, two beside a gutter, or one."""
     h, w = rgb.shape[:2]
     total = rgb.astype(np.int64).sum(axis=-1)
     limit = page_dark(rgb)
     dark, black = total < 3 * limit, total < 3 * RULE_DARK
-    first = int(w * 0.55)
-    at = np.arange(first, int(np.ceil(w * 0.9)), 2)
+    first = int(w * RULE_FROM)
+    at = np.arange(first, int(np.ceil(w * RULE_TO)), 2)
     ink = black[::2][:, at].sum(axis=0) if len(at) else np.zeros(0, int)
     best = int(np.argmax(ink)) if len(ink) else 0
-    if len(ink) and ink[best] and ink[best] >= h * 0.18:
+    if len(ink) and ink[best] and ink[best] >= h * RULE_SHARE:
         x = int(at[best])
         hit = np.flatnonzero(black[:, x])
         top, bottom = int(hit[0]), int(hit[-1])
         zones = [(0, 0, w, top), (0, top, x, bottom - top), (x + 1, top, w - x - 1, bottom - top), (0, bottom, w, h - bottom)]
     else:
-        even = np.flatnonzero(dark[::2, ::4].sum(axis=1) >= 4) * 2
-        last = (h - 1) // 2 * 2
-        top, bottom = (int(even[0]), int(even[-1])) if len(even) else (last, last)
-        a, b = int(w * 0.25), int(w * 0.75)
-        blank = dark[top : bottom + 1 : 4, a : b + 1].sum(axis=0) <= (bottom - top + 1) / 80
-        found = [(s + a, min(e + a, b)) for s, e in _runs(blank)]
-        start, end = max(found, key=lambda r: (r[1] - r[0], -r[0]), default=(0, 0))
-        split = int(np.floor((start + end) / 2 + 0.5))
-        zones = [(0, 0, split, h), (split, 0, w - split, h)] if end - start >= w * 0.015 and end > start else [(0, 0, w, h)]
+        *_, split = gutter_kernel(dark)
+        zones = [(0, 0, w, h)] if split is None else [(0, 0, split, h), (split, 0, w - split, h)]
     return [line for z in zones for line in zone_lines(dark, *z)]
 
 
 def drop_header(lines: list[tuple[int, int, int, int]], width: int, height: int) -> list[tuple[int, int, int, int]]:
     sizes = sorted(x[3] for x in lines)
     typical = (sizes[len(sizes) // 2] if sizes else 0) or 1
-    rule = next((x for x in lines if x[1] < height * 0.1 and x[2] > width * 0.85 and x[3] < typical * 0.55), None)
+    rule = next((x for x in lines if x[1] < height * HEADER_TOP and x[2] > width * HEADER_WIDTH and x[3] < typical * HEADER_TALL), None)
     return [x for x in lines if x[1] > rule[1]] if rule else lines
 
 

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from docgrid.functions.scalars import gray
 
+# Fixed values of the choice of a mode: the shares of pixels below the two percentiles, the high one under
+# which a page is dark, and the distance of both under which it is flat.
+LOW_SHARE, HIGH_SHARE = 0.05, 0.9
+DARK_HIGH, FLAT = 225, 105
+
 
 def with_gray(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("gray", gray(F.col("r"), F.col("g"), F.col("b")))
@@ -53,6 +58,6 @@ def percentiles(hist: DataFrame, fractions: dict[str, float], key: str = "page_i
 
 def auto_mode(hist: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, low, high, mode): preprocessing chosen from the 5th and 90th percentiles."""
-    told = percentiles(hist, {"low": 0.05, "high": 0.9}, key)
-    mode = F.when(F.col("high") < 225, "sauvola").when(F.col("high") - F.col("low") < 105, "otsu").otherwise("none")
+    told = percentiles(hist, {"low": LOW_SHARE, "high": HIGH_SHARE}, key)
+    mode = F.when(F.col("high") < DARK_HIGH, "sauvola").when(F.col("high") - F.col("low") < FLAT, "otsu").otherwise("none")
     return told.withColumn("mode", mode)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docgrid import fixtures as fx
 from docgrid.functions import scalars
-from docgrid.operators import batching, crop, decode, metrics, order, pixels, segment, stats, text
+from docgrid.operators import batching, crop, decode, metrics, order, rasters, segment, stats, text
 from docgrid.options import PROFILES, Options
 from docgrid.plans import recognise
 from docgrid.sources import assets
@@ -353,7 +353,7 @@ b2 AS (SELECT page_id, y, gray, CAST(sum(s1) OVER w AS DOUBLE) AS s1, CAST(sum(s
 m AS (SELECT page_id, y, gray, s1 / s0 AS mean, greatest(0.0e0, s2 / s0 - (s1 / s0) * (s1 / s0)) AS v FROM b2)
 SELECT page_id, y, count(*) FILTER (WHERE gray <= mean * (1.0e0 + 0.2e0 * (sqrt(v) / 128.0e0 - 1.0e0))) AS ink FROM m GROUP BY page_id, y""")
 def sauvola_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.sauvola(fx.page_raster(spark, sf_dir)).groupBy("page_id", "y").agg(F.count_if(F.col("ink") == 1).alias("ink"))
+    return rasters.sauvola_rows(fx.page_raster(spark, sf_dir))
 
 
 @query(f"""WITH {RASTER}, {HIST}, {OTSU},
@@ -362,8 +362,7 @@ s AS (SELECT *, max(ink) OVER (PARTITION BY page_id, y ORDER BY x ROWS BETWEEN 1
 c AS (SELECT *, min(spread) OVER (PARTITION BY page_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS closed FROM s)
 SELECT page_id, y, CAST(sum(ink) AS BIGINT) AS ink, CAST(sum(closed) AS BIGINT) AS closed FROM c GROUP BY page_id, y""")
 def closing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    closed = pixels.closing(pixels.binary(fx.page_raster(spark, sf_dir)))
-    return closed.groupBy("page_id", "y").agg(F.sum("ink").alias("ink"), F.sum("closed").alias("closed"))
+    return rasters.closing_rows(fx.page_raster(spark, sf_dir))
 
 
 # -- segmentation ----------------------------------------------------------------------------------
@@ -420,9 +419,7 @@ bs AS (SELECT page_id, s, e, row_number() OVER (PARTITION BY page_id ORDER BY e
 SELECT ac.page_id, top, bottom, coalesce(s, 0) AS "start", coalesce(e, 0) AS "end", CASE WHEN e - s >= 0.6e0 THEN CAST(floor((s + e) / 2.0e0 + 0.5e0) AS INTEGER) END AS split
 FROM ac LEFT JOIN bs ON ac.page_id = bs.page_id AND k = 1""")
 def gutter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = fx.page_raster(spark, sf_dir)
-    dark = stats.ink_threshold(px)
-    return segment.active_rows(px, dark).join(segment.gutter(px, dark), "page_id")
+    return rasters.gutters(fx.page_raster(spark, sf_dir))
 
 
 @query(f"""WITH {RASTER}, {DARK}, {PROFILE}, {_bands("prof", "4", "4")},
@@ -496,7 +493,47 @@ def raster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "width", "height", "cells").mapInArrow(run, "page_id string, width int, height int, rgb binary, error string")
 
 
-@query()
+#: Pages of the raster twice as large, missing pixels white.
+ENLARGED = RASTER.replace("px AS (", "px0 AS (") + """,
+large AS (SELECT page_id, width, height, unnest(range(2 * height)) AS y FROM (SELECT page_id, max(width) AS width, max(height) AS height FROM px0 GROUP BY page_id)),
+cell AS (SELECT page_id, 2 * width AS width, 2 * height AS height, y, unnest(range(2 * width)) AS x FROM large),
+px AS (SELECT cell.page_id, cell.x, cell.y, cell.width, cell.height, coalesce(r, 255) AS r, coalesce(g, 255) AS g, coalesce(b, 255) AS b, coalesce(gray, 255) AS gray
+  FROM cell LEFT JOIN px0 ON cell.page_id = px0.page_id AND cell.x // 2 = px0.x AND cell.y // 2 = px0.y)"""
+
+#: Zones of these pages: around a rule, beside a gutter, or one.
+ZONES = """
+p AS (SELECT page_id, max(width) AS w, max(height) AS h FROM px GROUP BY page_id),
+rc AS (SELECT page_id, x, count(*) FILTER (WHERE is_black) AS ink FROM d WHERE x >= 44 AND x < 72 AND x % 2 = 0 AND y % 2 = 0 GROUP BY page_id, x),
+rk AS (SELECT rc.page_id, x FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ink DESC, x) AS k FROM rc) AS rc JOIN p ON rc.page_id = p.page_id WHERE k = 1 AND ink > 0 AND ink >= h * 0.18e0),
+rl AS (SELECT rk.page_id, rk.x, min(y) AS top, max(y) AS bottom FROM rk JOIN d ON rk.page_id = d.page_id AND rk.x = d.x WHERE is_black GROUP BY rk.page_id, rk.x),
+ar AS (SELECT page_id, y, count(*) FILTER (WHERE x % 4 = 0 AND is_dark) AS ink FROM d WHERE y % 2 = 0 GROUP BY page_id, y),
+ac AS (SELECT ar.page_id, coalesce(min(y) FILTER (WHERE ink >= 4), (max(h) - 1) // 2 * 2) AS top, coalesce(max(y) FILTER (WHERE ink >= 4), (max(h) - 1) // 2 * 2) AS bottom FROM ar JOIN p ON ar.page_id = p.page_id GROUP BY ar.page_id),
+cl AS (SELECT d.page_id, x, max(top) AS top, max(bottom) AS bottom, count(*) FILTER (WHERE is_dark AND y BETWEEN top AND bottom AND (y - top) % 4 = 0) AS ink
+  FROM d JOIN ac ON d.page_id = ac.page_id WHERE x BETWEEN 20 AND 60 GROUP BY d.page_id, x),
+bl AS (SELECT page_id, x, x - row_number() OVER (PARTITION BY page_id ORDER BY x) AS isl FROM cl WHERE ink <= (bottom - top + 1) / 80.0e0),
+rn AS (SELECT page_id, min(x) AS s, least(max(x) + 1, 60) AS e FROM bl GROUP BY page_id, isl),
+gt AS (SELECT page_id, CAST(floor((s + e) / 2.0e0 + 0.5e0) AS INTEGER) AS split FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY e - s DESC, s) AS k FROM rn WHERE e > s) WHERE k = 1 AND e - s >= 1.2e0),
+zones AS (SELECT rl.page_id, 0 AS z, 0 AS x0, 0 AS y0, w AS zw, top AS zh FROM rl JOIN p ON rl.page_id = p.page_id
+  UNION ALL SELECT page_id, 1, 0, top, x, bottom - top FROM rl UNION ALL SELECT rl.page_id, 2, x + 1, top, w - x - 1, bottom - top FROM rl JOIN p ON rl.page_id = p.page_id
+  UNION ALL SELECT rl.page_id, 3, 0, bottom, w, h - bottom FROM rl JOIN p ON rl.page_id = p.page_id
+  UNION ALL SELECT p.page_id, 0, 0, 0, coalesce(split, w), h FROM p LEFT JOIN gt ON p.page_id = gt.page_id WHERE p.page_id NOT IN (SELECT page_id FROM rl)
+  UNION ALL SELECT p.page_id, 1, split, 0, w - split, h FROM p JOIN gt ON p.page_id = gt.page_id WHERE p.page_id NOT IN (SELECT page_id FROM rl))"""
+
+
+@query(f"""WITH {ENLARGED}, {DARK}, {ZONES},
+zr AS (SELECT zones.page_id, z, x0, y0, zw, zh, y - y0 AS y, count(*) FILTER (WHERE is_dark) AS ink, min(x - x0) FILTER (WHERE is_dark) AS lo, max(x - x0) FILTER (WHERE is_dark) AS hi
+  FROM zones JOIN d ON zones.page_id = d.page_id AND d.x >= x0 AND d.x < x0 + zw AND d.y >= y0 AND d.y < y0 + zh WHERE (d.x - x0) % 2 = 0 GROUP BY ALL),
+zi AS (SELECT *, y - row_number() OVER (PARTITION BY page_id, z ORDER BY y) AS isl FROM zr WHERE ink >= 4),
+zb AS (SELECT page_id, z, x0, y0, zw, zh, min(y) AS s, max(y) + 1 AS e FROM zi GROUP BY page_id, z, x0, y0, zw, zh, isl HAVING max(y) + 1 - min(y) >= 4),
+bx AS (SELECT zb.page_id, zb.z, zb.s, zb.e, zb.x0, zb.y0, zb.zw, zb.zh, greatest(0, min(lo) - 12) AS l, least(zb.zw, max(hi) + 14) AS r
+  FROM zb JOIN zr ON zb.page_id = zr.page_id AND zb.z = zr.z AND zr.y >= zb.s - 6 AND zr.y < zb.e + 6 GROUP BY zb.page_id, zb.z, zb.s, zb.e, zb.x0, zb.y0, zb.zw, zb.zh),
+ln AS (SELECT page_id, z, s, x0 + l AS x, y0 + s AS y, greatest(1, r - l) AS width, least(zh, e - s + 12) AS height FROM bx),
+ty AS (SELECT page_id, list_sort(list(height))[count(*) // 2 + 1] AS t FROM ln GROUP BY page_id),
+hd AS (SELECT page_id, y FROM (SELECT ln.page_id, y, row_number() OVER (PARTITION BY ln.page_id ORDER BY z, s) AS k FROM ln JOIN ty ON ln.page_id = ty.page_id JOIN p ON ln.page_id = p.page_id
+  WHERE y < h * 0.1e0 AND width > w * 0.85e0 AND height < t * 0.55e0) WHERE k = 1),
+lt AS (SELECT ln.*, row_number() OVER (PARTITION BY ln.page_id ORDER BY z, s) - 1 AS line_no FROM ln LEFT JOIN hd ON ln.page_id = hd.page_id WHERE hd.y IS NULL OR ln.y > hd.y)
+SELECT CAST(lt.page_id AS VARCHAR) AS page_id, CAST(line_no AS INTEGER) AS line_no, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y,
+  CAST(least(width, w - x) AS INTEGER) AS width, CAST(least(height, h - greatest(0, y - 6)) AS INTEGER) AS height FROM lt JOIN p ON lt.page_id = p.page_id""")
 def fast_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognise.prepare(raster_pages(spark, sf_dir), Options()).drop("rgb", "error", "transform")
 
