@@ -41,8 +41,8 @@ CUT_BITS = 9
 LOOK_BACK = 16
 CUT_BYTES = 1 << 20
 #: Chunks of a generation of a worker's memory, windows, and words.
-MEMORY = 30_000
-WORDS = 150_000
+MEMORY = 12_000
+WORDS = 100_000
 #: Bytes of text that are cut and looked up together, and chunks or windows that go through the tokenizer together.
 PORTION_BYTES = 512 << 10
 RUN = 4096
