@@ -47,6 +47,8 @@ HINTS = frozenset(
 )
 #: The same, but an article's own header may be called so.
 PAGE_ONLY = frozenset("header masthead banner".split())
+#: Hints that a section of an article may be about: as its id, with no other word, they don't count.
+TOPICS = frozenset("login signup search subscription sharing notification alert consent cookie cookies copyright disclaimer advertising promotion navigation pagination".split())
 #: Words that may stand beside a hint in a hyphenated name without changing what it says.
 BESIDE = frozenset(
     "site page main global top bottom left right primary secondary first second container wrapper wrap box block list section area bar inner outer row column col "
@@ -128,7 +130,8 @@ def _kind(tag: str, attributes: dict[str, str], in_article: bool) -> tuple[str,
         return "outside", False, False
     if tag not in HOLDERS and ("hidden" in attributes or "style" in attributes and _NONE.search(attributes["style"].lower()) or attributes.get("aria-hidden", "").lower() == "true"):
         return "outside", False, False
-    names = [n for key in ("class", "id", "role") if key in attributes for n in attributes[key].lower().split()]
+    keys = ("class", "id", "role") if not (in_article and tag == "section" and attributes.get("id", "").strip().lower() in TOPICS) else ("class", "role")
+    names = [n for key in keys if key in attributes for n in attributes[key].lower().split()]
     said = [n for n in names if _says(n, HINTS) or not in_article and _says(n, PAGE_ONLY)] if tag not in HOLDERS else []
     layout = all(not (HINTS - LAYOUT).intersection(_PART.findall(n)) for n in said)
     if tag in ("article", "main"):

@@ -26,6 +26,8 @@ BODY = "The point of it is that the text is long and that it has the words of th
         ('<div class="widget-content"><article><p>{}</p></article></div>', "{}"),
         ('<div id="social-science"><article><p>{}</p></article></div>', "{}"),
         ("<form><main><p>{}</p></main></form>", "{}"),
+        ("<article><section id=login><p>{}</p></section><section id=comments><p>no</p></section><section class=login><p>no</p></section></article>", "{}"),
+        ("<section id=search><p>no</p></section><article><section id=Search><p>{}</p></section></article>", "{}"),
         ('<main><article class="post comments"><p>{}</p></article></main>', "{}"),
         ('<div class="right-sidebar"><div class="post"><p>{}</p></div></div>', "{}"),
         ("<article><p>{}</p><p>&copy; is how this one begins</p><table><tr><td>cell</td></tr></table><pre>code</pre><figcaption>seen</figcaption></article>", "{}\n\n© is how this one begins\n\ncell\n\ncode\n\nseen"),
