@@ -277,7 +277,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
     ``licence`` is that of the segment with the highest coefficient (the first by
     name among equals), ``n_matches`` counts matching segments, ``licences`` names
     all that they match, sorted. A text without a match, an empty or a null one
-    has null, null, zero and an empty list.
+    has null, null, zero and an empty list. Rows are scanned one by one: repeated rows
+    and ids have repeated results, and an empty table has none. Other columns of ``docs``
+    are neither read nor returned, whatever their names.
     """
     made = Templates(templates or TEMPLATES, least)
     rows = scratch.spread(docs.select("doc_id", "text")).select("doc_id", F.col("text").cast("binary").alias("text"))

@@ -24,32 +24,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written and read back.
+
+    A null html has an empty payload. Rows that repeat an id, null ids and ties have a record
+    each (``warc.write``); an empty table gives no rows. Columns of other names aren't read.
+    """
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose SimHash fingerprints differ in at most four bits.
+
+    Null and empty texts have the fingerprint zero and are linked like any others. Repeated rows and
+    ids are rows of their own; ties of a component go to its smallest id. Empty tables give no rows.
+    """
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
 
 def op3_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document's ids and decoded text.
+
+    A null text counts as empty. Rows are encoded one by one, so there are no ties, repeated rows have
+    repeated results, and an empty table has none.
+    """
     return chunked_bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE, ["doc_id"])
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of benchmark items.
+
+    Null texts have no words. Repeated rows are rows of their own, equal items of several ids are all
+    named; items with a null id hit but aren't named. Without documents the result is empty, without
+    items nothing is hit.
+    """
     rows = scratch.with_row_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), "docs")
     found = positional_index.contamination(rows, table(spark, sf_dir, "benchmark"))
     return rows.select(scratch.ROW, "doc_id").join(found, scratch.ROW).drop(scratch.ROW)
 
 
 def op5_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document by unigrams and by the log-bilinear model.
+
+    A null text counts as empty and has its end alone. Repeated rows count in training as often as they
+    stand there, and null ids as empty text in the choice of rows; an empty table gives no rows.
+    """
     return lm.score(table(spark, sf_dir, "documents"))
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page.
+
+    A null html counts as empty and has an empty text. Pages are read one by one: repeated rows and
+    ids have repeated results, and an empty table has none.
+    """
     return html_blocks.extract(table(spark, sf_dir, "pages"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document.
+
+    Null and empty texts have the score of a text without hits. Equal texts have equal scores, so there
+    are no ties; repeated rows stay, and an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     held_out = (crc32_mod(F.col("doc_id"), 5) == 0).alias("held_out")
@@ -57,11 +93,21 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts, and the row of each that stays.
+
+    A null text counts as empty. Null ids are the smallest; where rows repeat the largest id of a group one
+    of them stays. An empty table gives no rows.
+    """
     rows = scratch.with_row_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), "docs")
     return block_names.exact_groups(rows).drop(scratch.ROW)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document.
+
+    A null text counts as empty, and empty texts have a score of their own. Equal texts have equal scores;
+    repeated rows stay, and an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = subword_quality.fit(docs, table(spark, sf_dir, "labels"))
     held_out = (crc32_mod(F.col("doc_id"), 3) == 1).alias("held_out")
@@ -69,11 +115,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every document names or holds.
+
+    Null and empty texts have none. Ties of coefficients go to the first name; repeated rows have repeated
+    results, and an empty table has none.
+    """
     found = licences.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "licence", F.round("dice", 9).alias("dice"), "n_matches", F.array_join("licences", ",").alias("licences"))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document's words, a tenth of the documents with planted ones.
+
+    A null text has no words. Ties of the longest run go to the smallest start, then period. Rows are worked on
+    one by one: repeated rows have repeated results, and an empty table has none.
+    """
     docs = scratch.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = periodic_runs.find_runs(docs.select("doc_id", periodic_runs.plant(F.col("text"), F.col("doc_id")).alias("text")), ["doc_id"])
     best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
@@ -85,10 +141,20 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter does in each order of the five, by language.
+
+    A null text counts as empty, a null lang as the empty string. Repeated rows all count; of texts of the same
+    smallest id none is a copy. An empty table has no parts, so no rows.
+    """
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat an earlier string of 100.
+
+    A null text counts as empty. Repeated ids are texts of their own, null ids come last; the order is that of
+    ``repeats.numbered``. An empty table gives no rows.
+    """
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
