@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from docgrid.operators.stats import DARK_HIGH, FLAT, HIGH_SHARE, LOW_SHARE, histogram, otsu, with_gray
 
+#: Weights of r, g and b in a pixel's luma, of 256 (fixed values).
+LUMA = (77, 150, 29)
 # Fixed values of the local threshold: half the side of its box, how far the spread moves it, and the spread that doesn't.
 RADIUS = 12
 BIAS = 0.2
@@ -51,6 +53,12 @@ def gray_kernel(rgb: np.ndarray) -> np.ndarray:
     return np.floor(rgb.astype(np.int64).sum(axis=-1) / 3 + 0.5).astype(np.int64)
 
 
+def binary_kernel(rgb: np.ndarray, threshold: int) -> np.ndarray:
+    """A page in black and white alone: black where the luma is under ``threshold``."""
+    luma = (rgb.astype(np.int64) @ np.array(LUMA)) >> 8
+    return np.repeat(np.where(luma < threshold, 0, 255).astype(np.uint8)[:, :, None], 3, axis=2)
+
+
 def otsu_kernel(grays: np.ndarray, default: int = 127, floor: float = -1.0) -> int:
     """Lowest gray whose split scores above ``floor`` and best."""
     n = np.bincount(grays.ravel(), minlength=256).astype(np.float64)

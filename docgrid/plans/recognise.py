@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from docgrid.functions.scalars import prepared_width
 from docgrid.operators import batching, crop, decode, order, pixels, segment, text
-from docgrid.operators.metrics import RunTimings
+from docgrid.operators.metrics import RunTimings, run_summary
 from docgrid.options import Options
 from docgrid.sources import stored
 from docgrid.sources.providers import LayoutProvider, Recogniser
@@ -52,8 +52,8 @@ def prepare(pages: DataFrame, options: Options, layout: LayoutProvider | None =
 
     ``crop_to`` is a template (fractions of the page) that every page is cut to first. Boxes
     are in pixels of that part. With ``options.layout_trim`` the layout provider sees what is
-    left without white margins, enlarged by ``options.layout_scale``. ``transform`` tells how
-    a page was cut and scaled; ``on_page`` adds the boxes' places on the whole page.
+    left without white margins, enlarged by ``options.layout_scale``, and in black and white
+    where ``options.layout_binary`` is a threshold. ``transform`` tells how a page was cut and scaled; ``on_page`` adds the boxes' places on the whole page.
     """
     spent = timings.layout if timings else None
 
@@ -69,6 +69,8 @@ def prepare(pages: DataFrame, options: Options, layout: LayoutProvider | None =
         x0, y0, x1, y1 = segment.trim_kernel(rgb) if options.layout_trim else (0, 0, w, h)
         part = np.ascontiguousarray(rgb[y0:y1, x0:x1])
         seen = part if scale == 1 else resize(part, max(1, int((y1 - y0) * scale + 0.5)), max(1, int((x1 - x0) * scale + 0.5)))
+        if options.layout_binary > 0:
+            seen = pixels.binary_kernel(seen, options.layout_binary)
         boxes = crop.text_boxes(layout(seen, crop.layout_dpi(scale), options.layout_psm, options.layout_binary)) / scale
         boxes = order.ordered([tuple(b) for b in (boxes + [x0, y0, x0, y0]).tolist()], w, h)
         l, t, r, b = crop.MARGINS
@@ -242,6 +244,15 @@ def page_results(results: DataFrame) -> DataFrame:
     return made.select("page_id", F.when(fine, F.col("n")).otherwise(0).alias("line_count"), F.when(fine, text.clean(F.col("joined"))).alias("text"), "error")
 
 
+def recognise_prepared(lines: DataFrame, options: Options, recogniser: Recogniser, codec: Mapping[int, str], timings: RunTimings | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pages (page_id, line_count, text, error) and the one-row summary (``run_summary``) of lines that were prepared before.
+
+    Results of the lines are stored, so that the model runs once for both.
+    """
+    results = stored.kept(recognise_lines(lines, options, recogniser, codec, timings))
+    return page_results(results), run_summary(results.where("error is null"))
+
+
 def recognise(
     pages: DataFrame,
     options: Options,

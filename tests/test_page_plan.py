@@ -16,7 +16,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from docgrid.operators import batching, crop, decode, metrics, segment
+from docgrid.operators import batching, crop, decode, metrics, pixels, segment
 from docgrid.options import Options
 from docgrid.plans import recognise
 from docgrid.sources import assets
@@ -176,6 +176,21 @@ def test_crop_and_trim_through_the_plan(spark) -> None:
     assert text == {"p": 2}
 
 
+def test_layout_sees_black_and_white_at_a_threshold(spark) -> None:
+    rgb = np.random.default_rng(1).integers(0, 256, (40, 60, 3)).astype(np.uint8)
+    luma = [[(77 * int(r) + 150 * int(g) + 29 * int(b)) // 256 for r, g, b in row] for row in rgb]
+    black = sum(v < 120 for row in luma for v in row)
+
+    def layout(part, dpi, psm, threshold):
+        values = {tuple(p) for p in part.reshape(-1, 3).tolist()}
+        return np.array([[0, 0, int((part.sum(axis=-1) == 0).sum()), len(values)]]) if threshold else np.array([[0, 0, 1, len(values)]])
+
+    told = lambda binary: recognise.prepare(frame(spark, {"p": rgb.repeat(1, 0)}), Options(segmentation="layout", layout_binary=binary), layout).count()
+    assert told(120) == 1 and told(0) == 1
+    seen = pixels.binary_kernel(rgb, 120)
+    assert layout(seen, 200, 3, 120).tolist() == [[0, 0, black, 2]] and ((seen[:, :, 0] == 0) == (np.array(luma) < 120)).all()
+
+
 def test_trim_kernel_equals_the_relational_form(spark) -> None:
     rng = np.random.default_rng(5)
     pages = {}
@@ -220,6 +235,18 @@ def test_timings_of_a_run(spark) -> None:
     assert metrics.RunTimings(spark).table().first().pages is None
 
 
+def test_prepared_lines_as_a_call_of_their_own(spark, tmp_path) -> None:
+    pages = frame(spark, {f"p{i}": page(i) for i in range(4)} | {"broken": None})
+    options = Options(retry=99.0, scale=0.5)
+    texts, summary = recognise.recognise_prepared(recognise.prepare(pages, options), options, Recorder(tmp_path), CODEC)
+    calls = len(list(tmp_path.iterdir()))
+    got = {r.page_id: (r.line_count, r.text, r.error) for r in texts.collect()}
+    want = {r.page_id: (r.line_count, r.text, r.error) for r in recognise.recognise(pages, options, StubRecogniser(), CODEC).collect()}
+    assert got == want and len(list(tmp_path.iterdir())) == calls
+    row = summary.first()
+    assert (row.lines, row.retried) == (12, 12) and row.confidence_median > 0
+
+
 def weights_model(path: str, threads: int):
     """A linear model whose weights are in a file."""
     weights = np.load(path)
