@@ -11,7 +11,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,3 +120,15 @@ def without_rows(rows: DataFrame, dropped: DataFrame, docs: DataFrame) -> DataFr
     """Rows of ``rows`` (from ``with_row_ids``) whose ``ROW`` isn't in ``dropped``, with the columns of ``docs``."""
     left = rows.join(sized(dropped), ROW, "left_anti").drop(ROW)
     return left.toDF(*docs.columns)
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; memory that Arrow keeps for reuse goes back to the system before the first and after each.
+
+    A Python worker lives on from task to task, so what it keeps adds to the executor's memory in every later stage.
+    """
+    pool = pa.default_memory_pool()
+    pool.release_unused()
+    for b in batches:
+        yield b
+        pool.release_unused()

@@ -213,14 +213,20 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != name), T.StructField(name, T.DoubleType())])
     kept = [c for c in docs.columns if c != name]
-    rows = scratch.spread(docs.select(*(docs[f"`{c}`"] for c in kept), F.col(text).cast("binary").alias(free_name("text", docs))))
+    columns = [docs[f"`{c}`"] for c in kept]
+    if text in kept and isinstance(docs.schema[text].dataType, (T.StringType, T.BinaryType)):
+        at = kept.index(text)  # sent to the workers once, and not as bytes beside it
+    else:
+        at = len(kept)
+        columns.append(F.col(text).cast("binary").alias(free_name("text", docs)))
+    rows = scratch.spread(docs.select(*columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, bias = sent.value
         values = Values(buckets)
-        for b in batches:
-            z = np.array([log_odds(values, bias, x.as_py() or b"") for x in b.column(len(kept))])
+        for b in scratch.released(batches):
+            z = np.array([log_odds(values, bias, x.as_py() or b"") for x in b.column(at).cast(pa.binary())])
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(p, pa.float64())], names=schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -94,3 +94,19 @@ def test_new_operators_with_long_texts_and_clashing_names(rows, docs) -> None:
 def test_every_query_says_what_it_does_with_awkward_rows() -> None:
     for query in queries.QUERIES.values():
         assert query.__doc__ and "mpty" in query.__doc__ and "epeat" in query.__doc__
+
+
+@pytest.mark.parametrize(("kind", "named"), [("string", "text"), ("binary", "text"), ("string", "TEXT")])
+def test_quality_of_text_columns(spark, kind, named):
+    """Text and bytes have the same scores, also by a name in other case; all columns stay in place."""
+    model = np.random.default_rng(3).normal(size=subword_quality.BUCKETS).astype(np.float32), 0.0
+    docs = spark.createDataFrame([(1, None, "a"), (2, "one né", "b"), (3, "", "c"), (4, "one né", None)], "doc_id long, body string, rest string")
+    told = docs.select(docs.rest, docs.body.cast(kind).alias("text"), docs.doc_id)
+    got = subword_quality.score(told, model, named)
+    assert got.columns == ["rest", "text", "doc_id", "score"] and got.drop("score").schema == told.schema
+    rows = got.collect()
+    assert sorted(repr(r[:3]) for r in rows) == sorted(repr(tuple(r)) for r in told.collect())
+    values = subword_quality.Values(model[0])
+    for r in rows:
+        z = subword_quality.log_odds(values, 0.0, {1: b"", 3: b""}.get(r["doc_id"], "one né".encode()))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)))
