@@ -1,11 +1,14 @@
 """Near duplicates by the Jaccard similarity of word shingles, checked exactly.
 
-A text is the set of its shingles of five words. MinHash bands propose
-pairs: ``BANDS`` keys of ``BAND`` minima each, so that a pair of similarity 0.8
-shares no key with a probability of (1 - 0.8^4)^20 = 0.00003. Two passes link
-what the exact similarity of the sets confirms: first every text with the
+A text is the set of its shingles of five words, and what links two texts is the
+exact similarity of these sets. Pairs to check come from ``simhash`` first: every text
+with the first of its group there, by SimHash fingerprints and BK-trees. A radius of few
+bits reaches a part of the texts that are alike, so MinHash bands propose what else may
+be: ``BANDS`` keys of ``BAND`` minima each, so that a pair of similarity 0.8
+shares no key with a probability of (1 - 0.8^4)^20 = 0.00003. Two passes check
+these: first every text with the
 first of each of its buckets, which joins a large group without all its pairs;
-then texts of one bucket that the first pass left in different groups. Of the
+then texts of one bucket that are still in different groups. Of the
 second only pairs go to the exact check whose sizes allow the similarity and
 whose minima agree often enough. As most links of a large group say the same, some rounds
 first check for each text the few that agree with it most; what is then still in
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm import scratch
+from docgrid.llm import scratch, simhash
 from docgrid.llm.components import components
 from docgrid.llm.scratch import ROW
 
@@ -248,13 +251,23 @@ def _crossing(entries: DataFrame, least: float, hot: int = HOT, part: int = PART
     return reduce(DataFrame.union, out).distinct()
 
 
+def _printed(rows: DataFrame, text: str) -> DataFrame:
+    """(a, b): every row with the first of its group by fingerprints, as ``simhash`` links these."""
+    prints = scratch.keep(simhash.fingerprints(rows.select(ROW, text), [ROW], text), "fingerprints")
+    near = simhash.near_groups(prints).withColumnRenamed("fp", "fingerprint")
+    told = scratch.keep(prints.join(near, "fingerprint").select(ROW, "label"), "printed")
+    first = scratch.keep(told.groupBy("label").agg(F.min(ROW).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "first"), "firsts")
+    return told.join(first, "label").where(F.col(ROW) != F.col("first")).select(F.col(ROW).alias("a"), F.col("first").alias("b"))
+
+
 def near_rows(rows: DataFrame, text: str = "text", least: float = LEAST, hot: int = HOT) -> DataFrame:
     """Stored (node, label): the rows of ``rows`` (with a stored ``ROW``) that are alike to another; what links reach has one label."""
     signed = scratch.keep(_signed(rows, text), "signed")
     entries = signed.select(ROW, "size", F.explode("keys").alias("key"))
     hubs = entries.groupBy("key").agg(F.min(ROW).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
     shared = scratch.keep(entries.join(scratch.keep(hubs, "hubs"), "key"), "shared")
-    pairs = shared.where(F.col(ROW) != F.col("hub")).select(F.col(ROW).alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = shared.where(F.col(ROW) != F.col("hub")).select(F.col(ROW).alias("a"), F.col("hub").alias("b"))
+    pairs = scratch.keep(_printed(rows, text), "by_prints").union(pairs).distinct()
     sides = signed.select(ROW, "size")
     pairs = pairs.join(sides.toDF("a", "sa"), "a").join(sides.toDF("b", "sb"), "b").where(F.least("sa", "sb") >= least * F.greatest("sa", "sb") - 1e-9)
     first = scratch.keep(_alike(scratch.keep(pairs.select("a", "b"), "pairs"), rows, text, least), "alike")

@@ -112,3 +112,18 @@ def test_stage_with_small_buckets_parted(spark):
     for i, label in enumerate(brute_groups(texts)):
         want.setdefault(label, set()).add(i)
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
+def test_fingerprints_propose_links(spark, monkeypatch):
+    """Without any common band, texts whose fingerprints lie near are still linked, and only if they are alike."""
+    monkeypatch.setattr(near_sets, "minima", lambda hashes: np.random.default_rng(int(hashes.sum() % 2**32)).integers(0, 2**63, near_sets.MINIMA, dtype=np.uint64))
+    rng = random.Random(3)
+    base = [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(400)) for _ in range(12)]
+    texts = [t for b in base for t in (b, edited(rng, b, 1))]
+    rows = near_sets.scratch.with_row_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "docs")
+    at = {r[near_sets.ROW]: r["doc_id"] for r in rows.collect()}
+    near = {r["doc_id"]: r["component_id"] for r in near_sets.simhash.near_components(rows).collect()}
+    want = {i for i in near if list(near.values()).count(near[i]) > 1}
+    assert len(want) > 6
+    assert {at[r["node"]] for r in near_sets.near_rows(rows).collect()} == want
+    assert near_sets.near_rows(rows, least=0.999).count() == 0
