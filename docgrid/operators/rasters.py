@@ -20,6 +20,11 @@ from docgrid.operators import pixels, segment
 Kernel = Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]
 
 
+def each_row(batch: pa.RecordBatch) -> Iterator[tuple[pa.Scalar, ...]]:
+    """A batch's rows, one at a time; their values are views, so no more than one page is ever a Python object."""
+    return zip(*batch.columns)
+
+
 def over_pages(px: DataFrame, kernel: Kernel, columns: dict[str, str], key: str = "page_id") -> DataFrame:
     """(key, columns): the rows that ``kernel`` gives for each page of ``px`` (key, x, y, width, height, r, g, b).
 

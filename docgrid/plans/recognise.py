@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docgrid.functions.scalars import prepared_width
-from docgrid.operators import batching, crop, decode, order, pixels, segment, text
+from docgrid.operators import batching, crop, decode, order, pixels, rasters, segment, text
 from docgrid.operators.metrics import RunTimings, run_summary
 from docgrid.options import Options
 from docgrid.sources import stored
@@ -78,7 +78,8 @@ def prepare(pages: DataFrame, options: Options, layout: LayoutProvider | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page_id, width, height, data, error in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in rasters.each_row(batch):
+                page_id, width, height, data, error = (c.as_py() for c in row)
                 rows, began = [], time.perf_counter()
                 try:
                     if error:

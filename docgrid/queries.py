@@ -475,19 +475,21 @@ def block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixture's pages as rows of one raster each, missing pixels white, enlarged twice."""
     px = fx.page_raster(spark, sf_dir)
-    cell = F.struct((F.col("y") * F.col("width") + F.col("x")).alias("i"), "r", "g", "b")
-    rows = px.groupBy("page_id").agg(F.max("width").alias("width"), F.max("height").alias("height"), F.array_sort(F.collect_list(cell)).alias("cells"))
+    place = (F.col("y").cast("long") * F.col("width") + F.col("x")) * F.lit(1 << 24)
+    packed = place + F.col("r") * F.lit(1 << 16) + F.col("g") * F.lit(1 << 8) + F.col("b")
+    rows = px.groupBy("page_id").agg(F.max("width").alias("width"), F.max("height").alias("height"), F.collect_list(packed).alias("cells"))
 
     def run(batches):  # noqa: ANN001, ANN202
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            for page, w, h, cells in zip(*(c.to_pylist() for c in b.columns)):
-                rgb = np.full((h * w, 3), 255, np.uint8)
-                rgb[[c["i"] for c in cells]] = [(c["r"], c["g"], c["b"]) for c in cells]
-                rgb = rgb.reshape(h, w, 3).repeat(2, axis=0).repeat(2, axis=1)
-                cols = ([str(page)], [w * 2], [h * 2], [rgb.tobytes()], [None])
+            for page, w, h, cells in rasters.each_row(b):
+                cells = cells.values.to_numpy()
+                rgb = np.full((h.as_py() * w.as_py(), 3), 255, np.uint8)
+                rgb[cells >> 24] = cells[:, None] >> np.array([16, 8, 0]) & 255
+                rgb = rgb.reshape(h.as_py(), w.as_py(), 3).repeat(2, axis=0).repeat(2, axis=1)
+                cols = ([str(page.as_py())], [rgb.shape[1]], [rgb.shape[0]], [rgb.tobytes()], [None])
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string()))], names=["page_id", "width", "height", "rgb", "error"])
 
     return rows.select("page_id", "width", "height", "cells").mapInArrow(run, "page_id string, width int, height int, rgb binary, error string")

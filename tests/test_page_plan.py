@@ -12,6 +12,7 @@ import sys
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -301,3 +302,40 @@ def test_batch_numbers_of_any_keys(spark) -> None:
         for rows in got.values():
             assert [r[-1] for r in sorted(rows)] == [i // options.batch for i in range(len(rows))]
     assert batching.plan(made.limit(0), Options()).count() == 0
+
+
+class Captured:
+    """A table that hands out the function given to ``mapInArrow``."""
+
+    def __getattr__(self, _):
+        return lambda *args, **more: self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_pages_of_a_batch_are_made_one_by_one(spark, monkeypatch):
+    """Memory of a batch of pages doesn't grow with their number; results are those of single pages."""
+    import tracemalloc
+
+    from docgrid import queries
+
+    def peak(run, batch):
+        tracemalloc.start()
+        kept = [b for i, b in enumerate(run(iter([batch]))) if i < 3]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return kept, most
+
+    n, h, w = 300, 60, 40
+    cells = np.arange(h * w, dtype=np.int64) << 24 | 5 << 16 | 6 << 8 | 7
+    lists = pa.ListArray.from_arrays(np.arange(0, n * h * w + 1, h * w, dtype=np.int32), pa.array(np.tile(cells, n)))
+    pages = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([w] * n, pa.int32()), pa.array([h] * n, pa.int32()), lists], names=["page_id", "width", "height", "cells"])
+    monkeypatch.setattr(queries.fx, "page_raster", lambda *_: Captured())
+    made, most = peak(queries.raster_pages(spark, ""), pages)
+    assert made[1].to_pylist() == [{"page_id": "1", "width": 2 * w, "height": 2 * h, "rgb": bytes([5, 6, 7]) * (4 * h * w), "error": None}]
+    assert most < 2 << 20  # all pixels of the batch as objects: over 200 MB
+
+    pages = pa.RecordBatch.from_arrays([pa.array(["a"] * n), *(pa.array([x] * n, pa.int32()) for x in (w, h)), pa.array([bytes(3 * h * w)] * n, pa.binary()), pa.nulls(n, pa.string())], names=["page_id", "width", "height", "rgb", "error"])
+    made, most = peak(recognise.prepare(Captured(), Options(segmentation="none")), pages)
+    assert made[2].num_rows == 1 and most < 1 << 20  # all pages: 2.1 MB
