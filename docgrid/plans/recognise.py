@@ -211,7 +211,7 @@ def infer(lines: DataFrame, options: Options, recogniser: Recogniser, timings: R
         held: list[dict] = []
         doubt: list[dict] = []
         for b in batches:
-            for row in b.to_pylist():
+            for row in (r for k in range(0, b.num_rows, options.batch) for r in b.slice(k, options.batch).to_pylist()):
                 if row["error"] is not None:
                     yield failed(row, row["error"], False)
                     continue
