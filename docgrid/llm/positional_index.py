@@ -61,7 +61,7 @@ class Index:
 
     def __init__(self, rows: DataFrame, windows: Windows, text: str = "text"):
         self.windows, width = windows, windows.width
-        tokens = rows.select(ROW, words(F.col(text)).alias("w"))
+        tokens = scratch.keep(rows.select(ROW, words(F.col(text)).alias("w")), "tokens")  # to take them from the texts costs more than to read them twice
         # the outer form: before a plain explode Spark filters by the array's size, and so takes the words twice
         seen = tokens.select(F.explode_outer("w").alias("term")).join(scratch.sized(windows.terms), "term")
         often = scratch.keep(seen.groupBy("tid").agg(F.count(F.lit(1)).alias("often")), "often")

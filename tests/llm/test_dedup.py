@@ -172,3 +172,13 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["label"] for r in components.components(links).collect()}
     assert got == {**{i: 0 for i in range(101)}, 500: 500, 501: 500}
+
+
+def test_words_are_taken_from_the_texts_once(spark, monkeypatch):
+    rows = scratch.with_row_ids(spark.createDataFrame([(1, "a b c d"), (2, "b c"), (3, None)], "doc_id long, text string"), "t")
+    windows = positional_index.Windows(spark.createDataFrame([(1, "b c")], "item_id long, text string"))
+    plans, keep = [], scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name))
+    index = positional_index.Index(rows, windows)
+    assert sum("regexp_extract_all" in p for p in plans) == 1
+    assert sorted(r["start"] for r in index.phrases().collect()) == [0, 1]
