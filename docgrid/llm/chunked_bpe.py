@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docgrid.llm.scratch import spread
+from docgrid.llm.scratch import released, spread
 from docgrid.llm.text import free_name
 
 #: A cut after a byte whose rolling hash has these bits at zero: 2**bits bytes a chunk on average.
@@ -314,7 +314,7 @@ def encode(docs: DataFrame, path: str, ids: list[str], text: str = "text", outpu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path)
-        for b in batches:
+        for b in released(batches):
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 done = list(of.encode_all([x.as_py() or b"" for x in part.column(len(ids))]))
