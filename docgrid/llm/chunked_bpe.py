@@ -3,7 +3,10 @@
 A rolling hash over the last bytes decides where a text is cut, so equal
 passages are cut alike wherever they stand. A chunk is encoded once and then
 looked up, whichever document it comes from; of a new chunk only words that no
-chunk of late had go through the tokenizer. Where two chunks join, a window is
+chunk of late had go through the tokenizer, many in one text with a mark between
+each two; those of the letters a-z alone, which nothing before the tokenizer's model
+changes or divides, go to the model itself. Words are known by their lower-case form where
+a chunk is Latin, and one with punctuation behind it by its stem and that. Where two chunks join, a window is
 encoded anew: from the whole word before the one that the cut meets to the whole
 word behind it. Its ids take the place of both chunks' ids there if they agree
 with the left chunk on the window's first word and with the right chunk on its
@@ -22,9 +25,11 @@ import hashlib
 import json
 import os
 import re
+import string
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +47,15 @@ LOOK_BACK = 16
 CUT_BYTES = 1 << 20
 #: Chunks of a generation of a worker's memory, windows, and words.
 MEMORY = 12_000
-WORDS = 100_000
+WORDS = 60_000
 #: Bytes of text that are cut and looked up together, and chunks or windows that go through the tokenizer together.
 PORTION_BYTES = 512 << 10
 RUN = 4096
+#: Words that go through the tokenizer as one text, and what stands between them.
+JOINED = 64
+MARK = "\x01"
 
 _GEAR = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
-_PLAIN = re.compile(r"[^ \t-\r]+")
 _HEAD = re.compile(r"[^ \t-\r]*+[ \t-\r]++")
 _WORD = re.compile(r"[^ \t-\r]++[ \t-\r]++")
 _TAIL = re.compile(r"[ \t-\r]++([^ \t-\r]++)[ \t-\r]++([^ \t-\r]*+)\Z")
@@ -60,9 +67,12 @@ def cuts(data: np.ndarray, bits: int = CUT_BITS) -> np.ndarray:
     for k in range(0, len(data), CUT_BYTES):
         low = max(0, k - LOOK_BACK + 1)
         gear = _GEAR[data[low : k + CUT_BYTES]]
-        rolled = gear.copy()
-        for i in range(1, min(LOOK_BACK, len(gear))):
-            rolled[i:] += gear[:-i] << np.uint32(i)
+        rolled, i = gear, 1
+        while i < LOOK_BACK:  # of 2 bytes, of 4 and so on
+            back = rolled[:-i] << np.uint32(i)
+            rolled = rolled.copy()
+            rolled[i:] += back
+            i *= 2
         found.append(np.flatnonzero(rolled[k - low :] >> np.uint32(32 - bits) == 0) + k + 1)
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
@@ -123,9 +133,9 @@ def _tail(text: str) -> re.Match[str] | None:
         size *= 4
 
 
-def described(text: str, words: list[list[int]]) -> Chunk:
-    """A chunk from the ids of its words, and what a window needs to know of it."""
-    out = Chunk(np.fromiter(chain.from_iterable(words), np.int32))
+def described(text: str, words: list[bytes]) -> Chunk:
+    """A chunk from the ids of its words (int32), and what a window needs to know of it."""
+    out = Chunk(np.frombuffer(bytearray().join(words), np.int32))
     head = _HEAD.match(text)
     word = head and _WORD.match(text, head.end())
     tail = word and _tail(text)
@@ -133,8 +143,9 @@ def described(text: str, words: list[list[int]]) -> Chunk:
         return out
     first = 0 if text[0] in " \t\n\v\f\r" else 1  # the word behind the one that a cut may have met
     last = len(words) - (2 if tail[2] else 1)
-    end = list(accumulate(map(len, words), initial=0))
-    place = end[first], end[first + 1], end[last], end[last + 1]
+    size = [len(w) // 4 for w in (*words[: first + 1], *words[last:])]
+    low, high = sum(size[:first]), len(out.ids) - sum(size[first + 1 :])
+    place = low, low + size[first], high, high + size[first + 1]
     if place[0] < place[1] <= place[2] < place[3]:
         out.left, out.right, out.at = word.end(), tail.start(1), place
     return out
@@ -157,12 +168,16 @@ class Memory:
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
 
-    def lacking(self, wanted: set[str]) -> list[str]:
+    def lacking(self, wanted: set) -> list:
         """Those of ``wanted`` that aren't known; all others are in ``young`` afterwards."""
-        new = wanted - self.young.keys()
-        back = new & self.old.keys()
-        self.young.update((x, self.old[x]) for x in back)
-        return list(new - back)
+        young, old, new = self.young, self.old, []
+        for x in wanted:
+            if x not in young:
+                if x in old:
+                    young[x] = old[x]
+                else:
+                    new.append(x)
+        return new
 
 
 class Encoder:
@@ -175,6 +190,30 @@ class Encoder:
         self.names = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(n)]
         self.numbers = [b"%d" % i for i in range(n)]
         self.chunks, self.windows, self.words = Memory(memory), Memory(memory), Memory(WORDS)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        normal = spec["normalizer"] or {}
+        steps = [(n["type"], n.get("pattern", {}).get("Regex")) for n in normal.get("normalizers", [normal] if normal else [])]
+        known = all(n in (("NFC", None), ("Lowercase", None), ("Replace", r"\s+")) for n in steps)
+        cut = spec["pre_tokenizer"]["pretokenizers"]
+        known &= [p["type"] for p in cut] == ["Split", "ByteLevel"] and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"]
+        self.lower = known and ("Lowercase", None) in steps
+        #: punctuation that is a piece of its own behind a letter or digit, and no part of an added token
+        self.ends = "".join(c for c in string.punctuation if not any(c in t for t in self.added)).encode() if known else b""
+        self.model = self.tokenizer.model if known and not any(t.isalpha() for t in self.added) else None
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _split(self, text: str) -> list[bytes]:
+        """The words of a text, in lower case if it is Latin-1, where no character composes with another, and has the same ids by that."""
+        if self.lower:
+            raw = text.encode("latin-1", "replace")
+            if text.isascii() or raw.decode("latin-1") == text:
+                low = text.lower()
+                if not any(t in low for t in self.added):
+                    text = low
+        return text.encode().split()
 
     def _through(self, texts: list[str]) -> Iterator[tuple[str, list[int]]]:
         """Texts with their ids from the tokenizer."""
@@ -182,11 +221,47 @@ class Encoder:
             part = texts[k : k + RUN]
             yield from zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
 
+    def _through_joined(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words with their ids (int32), ``JOINED`` of them as one text; one by one where a word has the mark's own id."""
+        runs = [words[k : k + JOINED] for k in range(0, len(words), JOINED)] if self.mark is not None else []
+        apart = [] if runs else list(words)
+        between = f" {MARK} ".encode()
+        for k in range(0, len(runs), RUN // JOINED):
+            part = runs[k : k + RUN // JOINED]
+            made = self.tokenizer.encode_batch_fast([between.join(r).decode() for r in part], add_special_tokens=False)
+            for run, e in zip(part, made):
+                ids = np.array(e.ids, np.int32)
+                at = (4 * np.flatnonzero(ids == self.mark)).tolist()
+                if len(at) == len(run) - 1:
+                    raw = ids.tobytes()
+                    yield from zip(run, map(raw.__getitem__, map(slice, [0, *(i + 4 for i in at)], [*at, len(raw)])))
+                else:
+                    apart += run
+        yield from ((w.encode(), np.array(ids, np.int32).tobytes()) for w, ids in self._through([w.decode() for w in apart]))
+
+    def _learn_words(self, wanted: set[bytes]) -> None:
+        """Ids (int32) of words; one with punctuation behind a letter or digit of ASCII is its stem and that."""
+        new, young, ended = self.words.lacking(wanted), self.words.young, []
+        if self.ends:
+            for w in new:
+                if w[-1:] in self.ends and (stem := w.rstrip(self.ends))[-1:].isalnum():
+                    ended.append((w, stem, w[len(stem) :]))
+            new = set(new).difference(w for w, _, _ in ended)
+            new.update(self.words.lacking({x for _, *two in ended for x in two}))
+        rest = []
+        for w in new:
+            if self.model is not None and w.isalpha() and w.islower():
+                young[w] = array("i", [t.id for t in self.model.tokenize(w.decode())]).tobytes()
+            else:
+                rest.append(w)
+        young.update(self._through_joined(rest))
+        young.update((w, young[stem] + young[end]) for w, stem, end in ended)
+
     def _learn_chunks(self, wanted: set[str]) -> None:
         new = self.chunks.lacking(wanted)
         self.encoded += len(new)
-        cut = [_PLAIN.findall(x) for x in new]
-        self.words.young.update(self._through(self.words.lacking(set(chain.from_iterable(cut)))))
+        cut = list(map(self._split, new))
+        self._learn_words(set(chain.from_iterable(cut)))
         word = self.words.young.__getitem__
         self.chunks.young.update((x, described(x, list(map(word, w)))) for x, w in zip(new, cut))
 
@@ -251,12 +326,12 @@ class Encoder:
             if a >= 0:
                 _, _, i, j = known[a].at
                 high[a] = i
-                if not np.array_equal(ids[: j - i], known[a].ids[i:j]):
+                if ids[: j - i].tobytes() != known[a].ids[i:j].tobytes():
                     whole[a], agree = True, False
             if b < len(known):
                 i, j, _, _ = known[b].at
                 low[b] = j
-                if not np.array_equal(ids[len(ids) - (j - i) :], known[b].ids[i:j]):
+                if ids[max(0, len(ids) - (j - i)) :].tobytes() != known[b].ids[i:j].tobytes():
                     whole[b], agree = True, False
         if not agree:
             self.widened += 1
@@ -324,7 +399,8 @@ def encode(docs: DataFrame, path: str, ids: list[str], text: str = "text", outpu
                     if name == "decoded":
                         cols.append(pa.array([x[2].decode() for x in done], pa.string()))
                     else:
-                        flat = np.fromiter((int(i) for x in done for i in x[1].split()), np.int32, sum(x[0] for x in done))
+                        told = b" ".join(x[1] for x in done if x[0])
+                        flat = np.fromstring(told, np.int32, sep=" ") if told else np.zeros(0, np.int32)
                         cols.append(pa.ListArray.from_arrays(np.cumsum([0, *(x[0] for x in done)]).astype(np.int32), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cols], names=schema.names)
 

@@ -480,3 +480,20 @@ def test_warc_of_many_small_records_and_long_ones(spark, tmp_path):
     assert got == {1: (len(long), "response", None), 2: (len(long), "revisit", 1), 3: (len(long) + 1, "response", None), None: (0, "response", None)}
     clash = rows.limit(0).withColumn("record_type", rows.url).withColumn("payload", rows.url)
     assert warc.round_trip(clash).count() == 0
+
+
+@needs_tokenizer
+def test_bpe_words_are_known_by_stem_and_case(monkeypatch):
+    """What differs in case or in the punctuation behind it goes through the tokenizer once; ids stay its own."""
+    encoder = chunked_bpe.Encoder(WORD_BPE)
+    stems = ["wörter", "naïveté", "x1y2", "it's", "łódź", "\u01f0et"]
+    text = " ".join(s.upper() if i % 2 else s + end for s in stems for i, end in enumerate(["", ".", ",", "!?", "...", "***", "$$$", "'", "\x01", "|>", "<|endoftext|>"]))
+    odd = ["J\u030cet. Abc", "A\u0301b e\u0301,", "<|ENDOFTEXT|> a", "<|endoftext|>. b<|startoftext|>,", "don't, WE'LL. 's' a''s.", "\x01 \x01. a\x01b", "ﬁ, Σας. ς", "a\x85b.\xa0c, d", "İstanbul. \x1c, e\x1d."]
+    for t in [text, *odd, " ".join(odd)]:
+        e = encoder.tokenizer.encode(t, add_special_tokens=False)
+        assert encoder.encode([t.encode()])[0] == (len(e.ids), " ".join(map(str, e.ids)).encode(), encoder.tokenizer.decode(e.ids, skip_special_tokens=False).encode())
+    sent: list[bytes] = []
+    fresh = chunked_bpe.Encoder(WORD_BPE)
+    monkeypatch.setattr(fresh, "_through_joined", lambda ws, f=fresh._through_joined: sent.extend(ws) or f(ws))
+    fresh.encode([b"One one, ONE. one! One? w0rd w0rd, W0RD;"])
+    assert sorted(sent) == [b"!", b",", b".", b";", b"?", b"w0rd"]
