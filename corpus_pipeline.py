@@ -3,7 +3,7 @@
 Quality classifier, exact dedup, near-dedup by shingles, benchmark decontamination,
 BPE encoding. Each function takes (spark, docs, sf_dir) and returns a table;
 ``run`` stores it as Parquet in the folder that the cluster shares and reads it
-back as the next stage's ``docs``. All but the last return the columns of
+back as the next stage's ``docs``; what a stage stored on its way is removed then. All but the last return the columns of
 ``documents``.
 """
 
@@ -59,5 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        before, docs = docs, scratch.settled(lambda: stage(spark, docs, sf_dir), name)  # noqa: B023  called at once
+        if name != STAGES[0][0]:
+            scratch.let_go(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -100,5 +100,5 @@ def exact_groups(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", si
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text equals that of a kept row (see ``exact_groups``)."""
     rows = scratch.with_row_ids(docs, "docs")
-    groups = exact_groups(rows, doc_id, text)
-    return scratch.without_rows(rows, scratch.keep(groups.where("not kept").select(ROW), "copies"), docs)
+    copies = scratch.settled(lambda: exact_groups(rows, doc_id, text).where("not kept").select(ROW), "copies")
+    return scratch.without_rows(rows, copies, docs)

@@ -304,9 +304,12 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
     their own. Columns of any names are kept as they are, and an empty table stays empty.
     """
     rows = scratch.with_row_ids(docs, "docs")
-    near = near_rows(rows, text, least).withColumnRenamed("node", ROW)
-    named = scratch.keep(near.join(rows.select(ROW, F.col(doc_id).alias("doc_id")), ROW), "named")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(ROW)))
-    stay = named.groupBy("label").agg(first.alias("low")).select(F.col(f"low.{ROW}").alias(ROW))
-    gone = scratch.keep(named.select(ROW).join(stay, ROW, "left_anti"), "gone")
-    return scratch.without_rows(rows, gone, docs)
+
+    def gone() -> DataFrame:
+        near = near_rows(rows, text, least).withColumnRenamed("node", ROW)
+        named = scratch.keep(near.join(rows.select(ROW, F.col(doc_id).alias("doc_id")), ROW), "named")
+        stay = named.groupBy("label").agg(first.alias("low")).select(F.col(f"low.{ROW}").alias(ROW))
+        return named.select(ROW).join(stay, ROW, "left_anti")
+
+    return scratch.without_rows(rows, scratch.settled(gone, "gone"), docs)

@@ -79,6 +79,7 @@ class Index:
         near = F.when(F.col("rarest") == 1, F.slice("w", start + 1, F.lit(2 * width - 1)))
         head = F.when(F.coalesce("pos", F.lit(0)) == 0, F.size("w"))
         stored = scratch.keep(every.select(ROW, "tid", "pos", start.alias("from"), near.alias("around"), head.cast("long").alias("n_words")), "postings")
+        scratch.let_go(tokens)
         self.heads = stored.where("n_words is not null").select(ROW, "n_words")
         self.postings = stored.where("tid is not null").select(ROW, "tid", "pos", "from", "around")
 
@@ -143,5 +144,5 @@ def contamination(rows: DataFrame, items: DataFrame, text: str = "text", item_id
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a window of a test item."""
     rows = scratch.with_row_ids(docs, "docs")
-    hit = contamination(rows, items, text).where("contaminated").select(ROW)
-    return scratch.without_rows(rows, scratch.keep(hit, "contaminated"), docs)
+    hit = scratch.settled(lambda: contamination(rows, items, text).where("contaminated").select(ROW), "contaminated")
+    return scratch.without_rows(rows, hit, docs)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import corpus_pipeline
@@ -11,7 +12,7 @@ from test_dedup import lower
 from test_near_sets import brute_groups
 from test_text_ops import brute_contamination, needs_tokenizer
 
-from docgrid.llm import subword_quality
+from docgrid.llm import scratch, subword_quality
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +55,18 @@ def test_stages_keep_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
+
+
+def _tables(spark) -> set[str]:
+    top = scratch.shared_dir(spark).removeprefix("file://")
+    return {x.split("-", 2)[2] for x in os.listdir(top)}
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_stages_leave_no_tables_of_their_way(spark, sf_dir, tmp_path, monkeypatch, k):
+    """Only the numbered rows and what is dropped of them are still there when a stage's result is read."""
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"file://{tmp_path}")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = corpus_pipeline.STAGES[k][1](spark, docs, sf_dir)
+    assert _tables(spark) == {"docs", ["copies", "gone", "contaminated"][k - 1]}
+    assert 0 < got.count() < docs.count()
