@@ -66,6 +66,8 @@ FAN = 8
 #: Tokens that are scored together, and bytes of text of a portion of rows.
 PORTION = 200_000
 PORTION_BYTES = 2 << 20
+#: Contexts whose sums are taken at once: few enough for a core's own cache.
+SUMMED = 1024
 
 
 def _words(raw: bytes | None) -> list[bytes]:
@@ -224,24 +226,27 @@ class Model:
 def _log_sums(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Logarithms of the sums over all ``vectors`` for each context."""
     out = np.empty(len(h), np.float32)
-    for k in range(0, len(h), 4096):
-        z = h[k : k + 4096] @ vectors.T
+    for k in range(0, len(h), SUMMED):
+        z = h[k : k + SUMMED] @ vectors.T
         z += bias
         with np.errstate(over="ignore", divide="ignore"):
-            told = np.log(np.exp(z).sum(axis=1))
+            told = np.log(np.exp(z, out=z).sum(axis=1))
         if not np.isfinite(told).all():  # too large or too small for plain sums
+            z = h[k : k + SUMMED] @ vectors.T + bias
             high = z.max(axis=1)
             told = np.log(np.exp(z - high[:, None]).sum(axis=1)) + high
-        out[k : k + 4096] = told
+        out[k : k + SUMMED] = told
     return out
 
 
 def _gathered(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct places, sums of their rows)."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at, kind="stable")  # of 16 bits: in linear time
     sorted_ = at[order]
-    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-    return sorted_[first], np.add.reduceat(rows[order], first, axis=0)
+    new = np.ones(len(at), bool)
+    np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return sorted_[first].astype(np.intp), np.add.reduceat(rows[order], first, axis=0)
 
 
 class Trainer:
@@ -251,10 +256,12 @@ class Trainer:
         self.start, self.before = model, past
         self.m, self.past, self.rng = model.copy(), [p.copy() for p in past], np.random.default_rng(seed)
         self.noise = [(np.cumsum(np.exp(x)), (x + np.log(NOISE)).astype(np.float32)) for x in (log_share, log_class)]
+        self.kind = np.min_scalar_type(len(model.one))
         self.seen = 0
 
     def learn(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         self.seen += len(target)
+        target, one, two = (x.astype(self.kind) for x in (target, one, two))
         order = self.rng.permutation(len(target))
         for k in range(0, len(target), BATCH):
             part = order[k : k + BATCH]
@@ -269,23 +276,30 @@ class Trainer:
         seen = h @ qn.T + (bias[other] - log_noise[other])
         up = 1 / (1 + np.exp(np.clip(told, -30, 30)))
         down = -1 / (1 + np.exp(-np.clip(seen, -30, 30)))
-        at = np.concatenate([target, other])
-        rows = np.concatenate([np.c_[up[:, None] * h, up], np.c_[down.T @ h, down.sum(axis=0)]])
-        at, rows = _gathered(rows, at)
-        return up[:, None] * q + down @ qn, at, rows[:, :-1], rows[:, -1:]
+        n = len(target)
+        rows = np.empty((n + NOISE, DIM + 1), np.float32)
+        np.multiply(up[:, None], h, out=rows[:n, :-1])
+        rows[:n, -1] = up
+        rows[n:, :-1] = down.T @ h
+        rows[n:, -1] = down.sum(axis=0)
+        at, rows = _gathered(rows, np.concatenate([target, other.astype(self.kind)]))
+        q *= up[:, None]
+        q += down @ qn
+        return q, at, rows[:, :-1], rows[:, -1:]
 
     def step(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         m = self.m
         h = m.one[one] + m.two[two]
         dh, at_out, out, bias = self.told_apart(h, target, m.out, m.bias, self.noise[0])
-        dc, at_cls, cls, cbias = self.told_apart(h, target // m.width, m.cls, m.cbias, self.noise[1])
+        dc, at_cls, cls, cbias = self.told_apart(h, (target // m.width).astype(self.kind), m.cls, m.cbias, self.noise[1])
         dh += dc
         moves = [_gathered(dh, one), _gathered(dh, two), (at_out, out), (at_cls, cls), (at_out, bias), (at_cls, cbias)]
         for p, past, (at, g) in zip(m.parts(), self.past, moves):
-            g = g * np.float32(32 / BATCH)
-            held = past[at] + np.square(g).mean(axis=1, keepdims=True)
-            past[at] = held
-            p[at] += np.float32(RATE) * g / np.sqrt(held)
+            scale = np.float32(32 / BATCH)
+            held = past[at, 0] + np.einsum("ij,ij->i", g, g) * (scale * scale / np.float32(g.shape[1]))
+            past[at, 0] = held
+            g *= (np.float32(RATE) * scale / np.sqrt(held))[:, None]
+            p[at] += g
 
     def moves(self) -> bytes:
         """Each row's move times the square gradients that it has met, and these."""
