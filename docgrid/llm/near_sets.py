@@ -10,15 +10,16 @@ these: first every text with the
 first of each of its buckets, which joins a large group without all its pairs;
 then texts of one bucket that are still in different groups. Of the
 second only pairs go to the exact check whose sizes allow the similarity and
-whose minima agree often enough. As most links of a large group say the same, some rounds
-first check for each text the few that agree with it most; what is then still in
-different groups is compared pair by pair, buckets of many texts parted before.
+whose minima agree often enough. Pairs of texts that are not quite alike grow with the
+square of a bucket, so they never leave the task that compares them: it gets the texts
+too, checks the pairs, those that agree most first, and gives the links by which
+groups become one. Buckets of many texts are parted before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +50,8 @@ STEP_AGREE = 8192
 HOT = 4096
 PART = 64
 ROUNDS = 2
-#: Rounds in which rows of different groups look for the few that they agree with most, and the number of these.
-HUNTS = 4
-BEST = 2
+#: Shingles in the cells whose texts are compared exactly; larger cells are dealt out in blocks.
+WEIGHT = 2 << 20
 #: Texts, and bytes of texts, in a block of those whose pairs are checked.
 CELL = 256
 CELL_BYTES = 16 << 20
@@ -156,62 +156,124 @@ def _agreement(sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def _compared(entries: DataFrame, least: float, best: int = 0) -> DataFrame:
-    """(a, b): rows of one bucket in different groups that may be alike; ``entries``: key, ROW, label, size, sketch.
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one key after the other; the batches are sorted by their first column, the key."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        key = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        for i, j in zip(cuts, cuts[1:]):
+            if held and i < j and held[-1].column(0)[0].as_py() != key[i]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if i < j:
+                held.append(b.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
 
-    A task meets its buckets one after the other; each has about twice ``HOT`` texts at most.
-    With ``best`` a row gives only the pairs with so many rows that agree with it most.
-    """
 
-    def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(rows)
-        row, label, size = (t.column(i).to_numpy() for i in (1, 2, 3))
-        if len(row) < 2 or (label == label[0]).all():
-            return
-        made = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(len(row), -1)
-        sketch, rough = np.ascontiguousarray(made[:, :MINIMA]), np.ascontiguousarray(made[:, : BANDS * BAND])
-        keys = np.ascontiguousarray(made[:, MINIMA:]).view(np.int64)
-        band = np.flatnonzero(keys[0] == t.column(0)[0].as_py())  # none in a part or cell of a bucket
-        step = max(1, STEP_PAIRS // len(row))
-        for k in range(0, len(row), step):
-            left, right = slice(k, k + step), slice(0 if best else k, None)
-            may = label[left][:, None] != label[right][None, :]
-            may &= np.minimum(size[left][:, None], size[right][None, :]) >= least * np.maximum(size[left][:, None], size[right][None, :]) - 1e-9
-            i, j = np.nonzero(may)
-            i, j = i + k, j if best else j + k
-            near = _agreement(rough, i, j) >= ROUGH
-            i, j = i[near], j[near]
-            agree = _agreement(sketch, i, j)
-            near = agree >= AGREE
-            if best and near.any():
-                order = np.lexsort((-agree, i))
-                order = order[near[order]]
-                first = np.flatnonzero(np.diff(i[order], prepend=-1))
-                near = order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < best]
-            i, j = i[near], j[near]
-            if len(band) and not best:  # rows that meet in several buckets are told by the first
-                new = ~(keys[i, : band[0]] == keys[j, : band[0]]).any(axis=1)
-                i, j = i[new], j[new]
-            a, b = row[i], row[j]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+def _candidates(t: pa.Table, label: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, agreeing bytes) of rows of one cell in different groups that may be alike, in steps; ``label`` may change between these.
+
+    ``t``: key, ROW, label, size, sketch, about twice ``HOT`` rows at most. Rows that meet in several buckets are told by the first.
+    """
+    if len(label) < 2 or (label == label[0]).all():
+        return
+    size = t.column(3).to_numpy()
+    made = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(len(label), -1)
+    sketch, rough = np.ascontiguousarray(made[:, :MINIMA]), np.ascontiguousarray(made[:, : BANDS * BAND])
+    keys = np.ascontiguousarray(made[:, MINIMA:]).view(np.int64)
+    band = np.flatnonzero(keys[0] == t.column(0)[0].as_py())  # none in a part or cell of a bucket
+    step = max(1, STEP_PAIRS // len(label))
+    for k in range(0, len(label), step):
+        left, right = slice(k, k + step), slice(k, None)
+        may = label[left][:, None] != label[right][None, :]
+        may &= np.minimum(size[left][:, None], size[right][None, :]) >= least * np.maximum(size[left][:, None], size[right][None, :]) - 1e-9
+        i, j = np.nonzero(np.triu(may, 1))
+        i, j = i + k, j + k
+        near = _agreement(rough, i, j) >= ROUGH
+        i, j = i[near], j[near]
+        agree = _agreement(sketch, i, j)
+        near = agree >= AGREE
+        if len(band):
+            near &= ~(keys[i, : band[0]] == keys[j, : band[0]]).any(axis=1)
+        if near.any():
+            yield i[near], j[near], agree[near]
+
+
+def _by_key(entries: DataFrame, *more: str) -> DataFrame:
+    return entries.select("key", ROW, "label", "size", "sketch", *more).repartition("key").sortWithinPartitions("key")
+
+
+def _compared(entries: DataFrame, least: float) -> DataFrame:
+    """(a, b): all rows of one cell in different groups that may be alike; ``entries``: key, ROW, label, size, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for t in _cells(scratch.released(batches)):
+            row = t.column(1).to_numpy()
+            for i, j, _ in _candidates(t, t.column(2).to_numpy(), least):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(row[i], row[j])), pa.array(np.minimum(row[i], row[j]))], names=["a", "b"])
+
+    return _by_key(entries).mapInArrow(run, "a long, b long")
+
+
+def _linked(entries: DataFrame, least: float, rows: DataFrame, text: str) -> DataFrame:
+    """(a, b): links that join all rows of one cell in different groups whose sets are alike; ``entries`` as for ``_compared``.
+
+    Sketches first tell which rows of a cell may be alike to another of it: these alone get their
+    texts. The task that has a cell checks its pairs exactly and gives a link where two groups
+    become one, so a cell has fewer links than rows, however many of its pairs are to be checked.
+    Cells of over ``WEIGHT`` shingles are dealt out in cells of two blocks before.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _cells(scratch.released(batches)):
+            met = np.zeros(t.num_rows, bool)
+            for i, j, _ in _candidates(t, t.column(2).to_numpy(), least):
+                met[i] = met[j] = True
+            if met.any():
+                yield from t.filter(pa.array(met)).to_batches()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in scratch.released(batches):
-            key = b.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-            for i, j in zip(cuts, cuts[1:]):
-                if held and i < j and held[-1].column(0)[0].as_py() != key[i]:
-                    yield from pairs(held)
-                    held = []
-                if i < j:
-                    held.append(b.slice(i, j - i))
-        if held:
-            yield from pairs(held)
+            sets = [shingles(x.as_py()) for x in b.column(5)]
+            ends = np.cumsum([0, *map(len, sets)])
+            lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets])))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], lists], names=b.schema.names)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _cells(hashed(batches)):
+            row, label = t.column(1).to_numpy(), t.column(2).to_numpy().copy()
+            sets = [x.values.to_numpy() for x in t.column(5)]
+            a, b = [], []
+            for i, j, agree in _candidates(t, label, least):
+                for k in np.argsort(-agree, kind="stable").tolist():
+                    x, y = i[k], j[k]
+                    if label[x] != label[y] and similarity(sets[x], sets[y]) >= least - 1e-12:
+                        a.append(max(row[x], row[y]))
+                        b.append(min(row[x], row[y]))
+                        label[label == label[x]] = label[y]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    columns = f"key long, {ROW} long, label long, size int, sketch binary"
+    met = scratch.keep(_by_key(entries).mapInArrow(meet, columns), "met")
+    used = scratch.keep(met.select(ROW).distinct(), "used")
+    texts = rows.join(scratch.sized(used), ROW, "left_semi").select(ROW, F.col(text).cast("binary").alias("t"))
+    heavy = met.groupBy("key").agg(F.sum("size").alias("weight")).where(F.col("weight") > WEIGHT)
+    heavy = scratch.keep(heavy.select("key", F.ceil(F.col("weight") / WEIGHT).cast("int").alias("blocks")), "heavy")
+    if not heavy.isEmpty():
+        cut = _in_cells(met.join(scratch.sized(heavy), "key"))
+        met = met.join(scratch.sized(heavy), "key", "left_anti").unionByName(cut)
+    return _by_key(met.join(texts, ROW), "t").mapInArrow(link, "a long, b long")
+
 
-    dealt = entries.select("key", ROW, "label", "size", "sketch").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long")
+def _in_cells(entries: DataFrame) -> DataFrame:
+    """Entries of a key's ``blocks`` blocks, dealt out: each two blocks form a cell, with a key of its own."""
+    mine = F.pmod(F.xxhash64(ROW, F.lit(1)), F.col("blocks")).cast("int")
+    dealt = entries.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    return dealt.select(cell.alias("key"), ROW, "label", "size", "sketch")
 
 
 def _mixed(entries: DataFrame) -> DataFrame:
@@ -220,8 +282,8 @@ def _mixed(entries: DataFrame) -> DataFrame:
     return scratch.keep(entries.join(scratch.keep(told.select("key", "n"), "buckets"), "key"), "mixed")
 
 
-def _crossing(entries: DataFrame, least: float, hot: int = HOT, part: int = PART, rounds: int = ROUNDS) -> DataFrame:
-    """(a, b), distinct: rows of one bucket in different groups whose minima and sizes allow the similarity.
+def _crossing(entries: DataFrame, least: float, hot: int = HOT, part: int = PART, rounds: int = ROUNDS, check: Callable[[DataFrame, float], DataFrame] = _compared) -> DataFrame:
+    """(a, b), distinct: what ``check`` finds among rows of one bucket in different groups whose minima and sizes allow the similarity.
 
     Buckets of over ``hot`` texts are dealt out: each two blocks of such a bucket form a cell.
     Those of over ``part`` blocks are parted before, by two further bytes of the sketch at a time.
@@ -235,13 +297,9 @@ def _crossing(entries: DataFrame, least: float, hot: int = HOT, part: int = PART
     out = []
     for k in range(rounds + 1):
         most = part * hot if k < rounds else None
-        out.append(_compared(now.where(F.col("n") <= hot), least))
         dealt = now.where(F.col("n") > hot) if most is None else now.where((F.col("n") > hot) & (F.col("n") <= most))
-        dealt = dealt.withColumn("blocks", F.ceil(F.col("n") / hot).cast("int"))
-        mine = F.pmod(F.xxhash64(ROW, F.lit(1)), F.col("blocks")).cast("int")
-        dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cell = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-        out.append(_compared(dealt.select(cell.alias("key"), ROW, "label", "size", "sketch"), least))
+        dealt = _in_cells(dealt.withColumn("blocks", F.ceil(F.col("n") / hot).cast("int")))
+        out.append(check(now.where(F.col("n") <= hot).select(dealt.columns).union(dealt), least))
         if most is None or (large := now.where(F.col("n") > most)).isEmpty():
             break
         last = F.lit(halves - sure + k)  # a later pair of bytes is never the first, or next, that two such texts share
@@ -271,30 +329,26 @@ def near_rows(rows: DataFrame, text: str = "text", least: float = LEAST, hot: in
     sides = signed.select(ROW, "size")
     pairs = pairs.join(sides.toDF("a", "sa"), "a").join(sides.toDF("b", "sb"), "b").where(F.least("sa", "sb") >= least * F.greatest("sa", "sb") - 1e-9)
     first = scratch.keep(_alike(scratch.keep(pairs.select("a", "b"), "pairs"), rows, text, least), "alike")
-    links, label, tried = first, components(first), first.limit(0)
+    links, label = first, components(first)
     sketches = signed.select(ROW, "size", "sketch")
+    check = partial(_linked, rows=rows, text=text)
 
     def mixed(label: DataFrame) -> DataFrame:
-        """Entries of the buckets that hold several groups, with what is compared of them."""
+        """(key, ROW, label, n): entries of the buckets that hold several groups, with the number of their texts."""
         told = scratch.keep(shared.join(label.withColumnRenamed("node", ROW), ROW, "left").select("key", ROW, F.coalesce("label", ROW).alias("label")), "told")
         several = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-        return told.join(scratch.keep(several.select("key", "n"), "several"), "key").join(sketches, ROW)
-
-    for k in range(HUNTS):
-        entries = mixed(label)
-        block = F.pmod(F.xxhash64(ROW, F.lit(k)), F.ceil(F.col("n") / hot))
-        near = _compared(entries.withColumn("key", F.when(F.col("n") > hot, F.xxhash64("key", block)).otherwise(F.col("key"))), least, BEST)
-        near = scratch.keep(near.distinct().join(tried, ["a", "b"], "left_anti"), "nearest")
-        found = scratch.keep(_alike(near, rows, text, least), "alike")
-        if found.isEmpty():
-            break
-        links, tried = links.union(found), tried.union(near)
+        return told.join(scratch.keep(several.select("key", "n"), "several"), "key")
+
+    entries = mixed(label)
+    many = entries.where(F.col("n") > hot)
+    if not many.isEmpty():  # what a block of a large bucket joins needn't be checked in each of its cells
+        block = F.pmod(F.xxhash64(ROW, F.lit(1)), F.ceil(F.col("n") / hot))
+        found = check(many.withColumn("key", F.xxhash64("key", block)).join(sketches, ROW), least)
+        links = links.union(scratch.keep(found, "in_blocks"))
         label = components(links)
-    more = _crossing(mixed(label).drop("n"), least, hot).join(tried, ["a", "b"], "left_anti")
-    more = scratch.keep(more, "crossing")
-    if more.isEmpty():
-        return label
-    return components(links.union(scratch.keep(_alike(more, rows, text, least), "alike2")))
+        entries = mixed(label)
+    found = scratch.keep(_crossing(entries.drop("n").join(sketches, ROW), least, hot, check=check), "crossing")
+    return label if found.isEmpty() else components(links.union(found))
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:

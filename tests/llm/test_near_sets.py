@@ -127,3 +127,31 @@ def test_fingerprints_propose_links(spark, monkeypatch):
     assert len(want) > 6
     assert {at[r["node"]] for r in near_sets.near_rows(rows).collect()} == want
     assert near_sets.near_rows(rows, least=0.999).count() == 0
+
+
+@pytest.mark.parametrize("weight", [2 << 20, 9000])
+def test_a_group_not_quite_alike_makes_no_table_of_its_pairs(spark, monkeypatch, weight):
+    """Of texts of which most pairs just miss the similarity, no stored table has more rows than there are keys of bands."""
+    monkeypatch.setattr(near_sets, "WEIGHT", weight, raising=False)
+    rng = random.Random(7)
+    base = " ".join(f"w{rng.randint(0, 3000)}" for _ in range(300))
+    texts = [edited(rng, base, 5) for _ in range(200)]
+    texts += [edited(rng, t, 1) for t in texts[::10]]
+    rows = near_sets.scratch.with_row_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "docs")
+    ids = {r[near_sets.ROW]: r["doc_id"] for r in rows.collect()}
+    stored, keep = {}, near_sets.scratch.keep
+
+    def counted(df, name):
+        out = keep(df, name)
+        stored[name] = max(stored.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_sets.scratch, "keep", counted)
+    got: dict = {}
+    for r in near_sets.near_rows(rows).collect():
+        got.setdefault(r["label"], set()).add(ids[r["node"]])
+    want: dict = {}
+    for i, label in enumerate(brute_groups(texts)):
+        want.setdefault(label, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+    assert max(stored.values()) <= near_sets.BANDS * len(texts), stored
